@@ -14,41 +14,29 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
+from siftlake.llm import tokens
 from siftlake.llm.common import written
 from siftlake.llm.components import components
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def shingles(text: str | None, words: int, seed: int) -> np.ndarray:
-    """XXH64 of each run of ``words`` words, repeats included; fewer words give one run, none give none."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(w)
-    if len(w) <= words:
-        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    ends = [n + i for i, n in enumerate(accumulate(map(len, w)))]
-    starts = [0, *(n + 1 for n in ends[:-words])]
-    return np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1 :], strict=True)], np.uint64)
-
-
 def majority(hashes: np.ndarray) -> int:
     """A bit is 1 if it is set in over half the hashes; no hashes give zero."""
     if not len(hashes):
         return 0
     total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for texts of any length
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255 << 8):  # bounded memory for texts of any length
+        part = hashes[at : at + (255 << 8)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(part, axis=1, bitorder="little")
+        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -71,7 +59,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([majority(shingles(t.as_py(), words, seed)) for t in b.column(1)], np.uint64)
+            fps = np.zeros(b.num_rows, np.uint64)
+            for lo, _, raw, offsets in tokens.chunks(b.column(1)):
+                h, bounds = tokens.shingle_hashes(tokens.words(raw, offsets), words, seed)
+                for i, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    fps[lo + i] = majority(h[x:y])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
