@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, decontaminate, secrets, simhash
+from siftlake.llm import chat, decontaminate, pseudonyms, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the registered query and the pipeline; a deployment passes its own secret.
+PSEUDONYMS = pseudonyms.Pseudonyms(key="siftlake-demo-key")
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.report(_table(spark, sf_dir, "documents"), PSEUDONYMS)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -82,6 +90,7 @@ FROM sized GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op5_pseudonyms": op5_pseudonyms,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,
         "op10_chat_format": op10_chat_format,
