@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, decontaminate, pseudonyms, secrets, simhash
+from siftlake.llm import chat, decontaminate, ngram_lm, pseudonyms, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 #: Key of the registered query and the pipeline; a deployment passes its own secret.
 PSEUDONYMS = pseudonyms.Pseudonyms(key="siftlake-demo-key")
 
@@ -90,6 +94,7 @@ FROM sized GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_ngram_lm": op2_ngram_lm,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,
