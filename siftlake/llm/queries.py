@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, decontaminate, ngram_lm, pseudonyms, secrets, simhash
+from siftlake.llm import chat, decontaminate, ngram_lm, pseudonyms, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "start", "matches")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: The conversation that every run of op10 adds: control strings and the escape character inside texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pseudonyms": op5_pseudonyms,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,
+        "op8_toxicity": op8_toxicity,
         "op10_chat_format": op10_chat_format,
     }
 
