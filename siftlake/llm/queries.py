@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, decontaminate, ngram_lm, pseudonyms, secrets, simhash, toxicity
+from siftlake.llm import chat, decontaminate, embed_dedup, html_text, ngram_lm, pseudonyms, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 #: Key of the registered query and the pipeline; a deployment passes its own secret.
 PSEUDONYMS = pseudonyms.Pseudonyms(key="siftlake-demo-key")
 
@@ -50,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 #: The conversation that every run of op10 adds: control strings and the escape character inside texts.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -99,10 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_ngram_lm": op2_ngram_lm,
+        "op3_html_text": op3_html_text,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,
         "op8_toxicity": op8_toxicity,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_chat_format": op10_chat_format,
     }
 
