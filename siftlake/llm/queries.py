@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, decontaminate, embed_dedup, html_text, ngram_lm, pseudonyms, secrets, simhash, toxicity
+from siftlake.llm import chat, decontaminate, embed_dedup, html_text, mixing, ngram_lm, pseudonyms, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,20 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def domains(labels: DataFrame) -> DataFrame:
+    """Domains of the labelled documents: toxic, good or poor; null where the label says nothing."""
+    domain = F.when(F.col("toxic") > 0, "toxic").when((F.col("toxic") == 0) & (F.col("quality") > 0), "good").when((F.col("toxic") == 0) & (F.col("quality") == 0), "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+#: Target weights of the registered query.
+WEIGHTS = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), domains(_table(spark, sf_dir, "labels")), WEIGHTS)[0]
+
+
 #: Key of the registered query and the pipeline; a deployment passes its own secret.
 PSEUDONYMS = pseudonyms.Pseudonyms(key="siftlake-demo-key")
 
@@ -108,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_ngram_lm": op2_ngram_lm,
         "op3_html_text": op3_html_text,
+        "op4_mixing": op4_mixing,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_simhash": op6_simhash,
         "op7_decontaminate": op7_decontaminate,

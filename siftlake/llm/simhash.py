@@ -189,3 +189,121 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def hex_fingerprint(fp):
     """Sixteen lower-case hexadecimal digits of a signed long."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, width: int = 3) -> DataFrame:
+    """``doc_id, text_hash, sig, sketch, shingles``: ``width`` SimHashes of each text's set of shingles.
+
+    ``sig`` is a hash of the set; it is null for texts without words.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "text_hash", "sig", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig: list[int | None] = []
+            sketch: list[bytes] = []
+            for _, _, raw, offsets in tokens.chunks(b.column(2)):
+                h, bounds = tokens.shingle_hashes(tokens.words(raw, offsets), words, 42)
+                for x, y in zip(bounds, bounds[1:], strict=False):
+                    own = np.unique(h[x:y])
+                    sketch.append(b"".join(majority(remix(own, k)).to_bytes(8, "little") for k in range(width)))
+                    sig.append(int((remix(own, 11).sum(dtype=np.uint64) ^ remix(np.array([len(own)], np.uint64), 12)[0]).view(np.int64)) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.int64()), pa.array(sketch, pa.binary())], names)
+
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return given.mapInArrow(run, f"doc_id {kind}, text_hash long, sig long, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``sig, shingles`` from ``sig, text``: the sorted distinct shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, raw, offsets in tokens.chunks(b.column(1)):
+                h, bounds = tokens.shingle_hashes(tokens.words(raw, offsets), words, 42)
+                sets = [np.unique(h[x:y]).view(np.int64) for x, y in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], ["sig", "shingles"])
+
+    return docs.select("sig", "text").mapInArrow(run, "sig long, shingles array<long>")
+
+
+def candidate_pairs(nodes: DataFrame, most: int, ball: Ball = Ball(32, 2), width: int = 3, span: int = 8) -> DataFrame:
+    """``a, b``: pairs of sketches (``sig, sketch``) at most ``most`` bits apart, found by ball hashing of each 32-bit part.
+
+    In a group of equal variants rows at most ``span`` apart in an order that
+    differs from group to group are paired; a pair shares hundreds of groups.
+    """
+    n = ball.route_bits(nodes.count())
+    tables = width * 64 // ball.bits
+
+    def parts(sketch: np.ndarray, table: int) -> np.ndarray:
+        """One 32-bit part of each sketch."""
+        return (sketch[:, table // 2] >> np.uint64(32 * (table % 2))) & np.uint64(0xFFFFFFFF)
+
+    def matrix(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketch = matrix(b.column(1))
+            for table in range(tables):
+                for at in range(0, b.num_rows, 4096):
+                    rows, key, left = ball.routes(parts(sketch[at : at + 4096], table), n)
+                    part = b.take(pa.array(at + rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), table, np.int32)), pa.array(key.astype(np.int32)), pa.array(left), *part.columns], ["part", "key", "flips", "sig", "sketch"]
+                    )
+
+    def group(table: pa.Table) -> pa.Table:
+        sketch, sig = matrix(table.column("sketch")), table.column("sig").to_numpy()
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for x, y in ball.meet(parts(sketch, table.column("part")[0].as_py()), table.column("flips").to_numpy(), n, span):
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= most
+            found.append(np.stack([np.minimum(sig[x][near], sig[y][near]), np.maximum(sig[x][near], sig[y][near])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    sent = nodes.select("sig", "sketch").mapInArrow(send, "part int, key int, flips byte, sig long, sketch binary")
+    return sent.groupBy("part", "key").applyInArrow(group, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest id.
+
+    Groups are connected by pairs whose sets of shingles have a Jaccard
+    similarity of at least ``similarity``; candidates come from three
+    SimHashes, cut into 32-bit parts, by ball hashing, and are verified
+    exactly. Documents without words are never grouped. Of repeated rows of
+    an id one stays; null ids come before others, ties go by text hash.
+    """
+    width = 3
+    cosine = 2 * similarity / (1 + similarity)
+    p = math.acos(cosine) / math.pi
+    most = math.floor(64 * width * p + 4 * math.sqrt(64 * width * p * (1 - p)))
+    rows = written(sketches(docs, doc_id, text, words, width), "sketches")
+    have = rows.where("sig IS NOT NULL")
+    nodes = written(have.groupBy("sig").agg(F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("low")), "nodes")
+    pairs = written(candidate_pairs(nodes, most, width=width), "pairs")
+    used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = nodes.join(used, "sig").select("sig", F.col("low.doc_id").alias("__id"), F.col("low.text_hash").alias("__hash"))
+    given = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("text"), F.xxhash64(text).alias("__text"))
+    texts = given.join(wanted, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))).select("sig", "text")
+    sets = written(shingle_sets(texts, words).dropDuplicates(["sig"]), "sets")
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b")
+    roots = components(linked)
+    named = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("keep"))
+    kept = named.join(lowest, "root").select("sig", "keep")
+    row = F.struct("doc_id", "text_hash")
+    gone = have.join(kept, "sig").where(~row.eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own, hashed = F.col(doc_id), F.xxhash64(text)
+    out = docs.join(gone, own.eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")), "left_anti")
+    again = have.groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.isEmpty():
+        return out
+    twice = again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = own.eqNullSafe(F.col("__id")) & (hashed == F.col("__hash"))
+    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -335,6 +335,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value.scores(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_scores(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """Fit on the labels whose residue modulo 4 isn't 2 and score every document."""
     model = train(docs, labels.where(residue(F.col("doc_id"), 4) != 2), options)
