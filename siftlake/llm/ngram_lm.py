@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for b in batches:
             n_tokens = np.zeros(b.num_rows, np.int64)
             n_known, base, full = n_tokens.copy(), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for lo, hi, raw, offsets in tokens.chunks(b.column(1)):
+            for lo, hi, raw, offsets in tokens.chunks(b.column(1), 1 << 20):
                 columns, count = _sequence(raw, offsets, model.order)
                 p, seen = model.probabilities(columns)
                 first = np.cumsum(count) - count
