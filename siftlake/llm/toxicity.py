@@ -2,13 +2,13 @@
 
 The unit is a word, stripped to its letters: digits that stand for letters
 are read as such, punctuation inside is dropped and runs of single letters
-are joined. Two units are compared by the subsequences of three symbols
-they share, word ends included, where up to two other symbols may stand in
+are joined. Two units are compared by the subsequences of four symbols they
+share, word ends included, where up to two other symbols may stand in
 between at a price: inserted and spaced characters lower the similarity but
-don't hide a word. A support vector machine over the kernel's Nyström map
-(chosen landmark units) scores units; since the map is linear in the
-subsequence features, the machine collapses to one weight a feature, so a
-text of any length is scored in one linear pass. A document's score is a
+don't hide a word. The normalised kernel is cubed, so that only units alike
+as a whole count. A support vector machine over the kernel's Nyström map
+scores units: their kernel with some hundred landmark units, looked up by
+shared subsequences, times one weight a landmark. A document's score is a
 calibrated function of its highest unit scores.
 
 Labels are of documents; the machine is trained as multiple-instance: units
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from siftlake.llm import tokens
 from siftlake.llm.common import residue
 
-#: Distances between the three symbols of a subsequence; each symbol skipped costs a factor.
-_SHAPES = ((1, 1, 0), (1, 2, 1), (2, 1, 1), (1, 3, 2), (2, 2, 2), (3, 1, 2))
+#: Distances between the four symbols of a subsequence, at most two symbols skipped; each costs a factor.
+_SHAPES = tuple((a, b, c, a + b + c - 3) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) if a + b + c <= 5)
 _SKIP = 0.5
 _HEAD, _TAIL = 62, 63
-_DIMS = 64**3
+#: Subsequences are hashed to so many features.
+_DIMS = 1 << 20
 #: Symbol of each byte: letters 1-26, bytes of other letters 27-61, 0 for what is dropped.
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -53,9 +54,9 @@ class Options:
     """
 
     per_class: int = 2000
-    landmarks: int = 320
-    negatives: int = 30_000
-    rounds: int = 3
+    landmarks: int = 800
+    negatives: int = 20_000
+    rounds: int = 4
     ridge: float = 1e-4
     threshold: float = 0.3
 
@@ -101,22 +102,90 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> Units:
 def _features(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(unit, feature, weight) of each shape's subsequences."""
     s, n = u.symbols, len(u.symbols)
-    for d1, d2, skipped in _SHAPES:
-        m = n - d1 - d2
+    for d1, d2, d3, skipped in _SHAPES:
+        m = n - d1 - d2 - d3
         if m <= 0:
             continue
-        inside = np.flatnonzero(u.unit[:m] == u.unit[d1 + d2 :])
-        yield u.unit[inside], (s[inside] << 12) | (s[inside + d1] << 6) | s[inside + d1 + d2], _SKIP**skipped
+        code = (s[:m] << 18) | (s[d1 : d1 + m] << 12) | (s[d1 + d2 : d1 + d2 + m] << 6) | s[d1 + d2 + d3 :]
+        code = (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(12)
+        inside = u.unit[:m] == u.unit[d1 + d2 + d3 :]
+        yield u.unit[:m][inside], code[inside].astype(np.int32), _SKIP**skipped
 
 
-def decisions(u: Units, weights: np.ndarray) -> np.ndarray:
-    """The machine's value of every unit: <features, weights> over the root of the summed squared weights."""
-    n = len(u.first)
-    total, norm = np.zeros(n), np.zeros(n)
-    for unit, feature, weight in _features(u):
-        total += weight * np.bincount(unit, weights[feature], n)
-        norm += weight**2 * np.bincount(unit, minlength=n)
-    return total / np.sqrt(np.maximum(norm, 1e-9))
+def distinct(u: Units) -> tuple[Units, np.ndarray]:
+    """The different units, and which of them each unit is."""
+    table = np.random.default_rng(99).integers(1, 2**63, (64, 1024), dtype=np.uint64)
+    place = np.arange(len(u.symbols)) - u.first[u.unit]
+    mixed = table[u.symbols, place & 1023] * (2 * (place >> 10) + 1).astype(np.uint64)
+    key = np.add.reduceat(mixed, u.first) if len(u.first) else np.zeros(0, np.uint64)
+    _, example, kind = np.unique(key, return_index=True, return_inverse=True)
+    return _subset(u, example), kind
+
+
+def _subset(u: Units, which: np.ndarray) -> Units:
+    """Some units, each as a text of its own."""
+    ends = np.append(u.first[1:], len(u.symbols))
+    size = (ends - u.first)[which]
+    first = np.cumsum(size) - size
+    unit = np.repeat(np.arange(len(which)), size)
+    return Units(u.symbols[u.first[which][unit] + np.arange(len(unit)) - first[unit]], unit, first, np.arange(len(which)), len(which))
+
+
+def _entries(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, feature, normalised weight) of all subsequences."""
+    parts = [(unit, feature, np.full(len(unit), weight, np.float32)) for unit, feature, weight in _features(u)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    unit, feature, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    norm = np.sqrt(np.maximum(np.bincount(unit, weight**2, len(u.first)), 1e-9))
+    return unit, feature, weight / norm[unit]
+
+
+@dataclass
+class Landmarks:
+    """Landmark units as an inverted list: the landmarks of each feature with their weights."""
+
+    begin: np.ndarray
+    mark: np.ndarray
+    weight: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(u: Units) -> Landmarks:
+        unit, feature, weight = _entries(u)
+        order = np.argsort(feature, kind="stable")
+        begin = np.searchsorted(feature[order], np.arange(_DIMS + 1)).astype(np.int32)
+        return Landmarks(begin, unit[order].astype(np.int32), weight[order], len(u.first))
+
+    def kernel(self, u: Units, which: np.ndarray) -> np.ndarray:
+        """Cubed kernel of some units with the landmarks."""
+        unit, feature, weight = _entries(_subset(u, which))
+        lists = self.begin[feature + 1] - self.begin[feature]
+        some = lists > 0
+        unit, feature, weight, lists = unit[some], feature[some], weight[some], lists[some]
+        at = np.repeat(self.begin[feature] - (np.cumsum(lists) - lists), lists) + np.arange(lists.sum())
+        cell = np.repeat(unit, lists) * self.n + self.mark[at]
+        k = np.bincount(cell, np.repeat(weight, lists) * self.weight[at], len(which) * self.n)
+        k = k.reshape(len(which), self.n)
+        return k * k * k
+
+
+@dataclass
+class Machine:
+    """Landmarks, one weight for each, and the bias."""
+
+    landmarks: Landmarks
+    beta: np.ndarray
+    bias: float
+
+    def values(self, u: Units, step: int = 4000) -> np.ndarray:
+        """The machine's value of every unit; each different unit is worked out once."""
+        different, kind = distinct(u)
+        out = np.zeros(len(different.first))
+        for at in range(0, len(out), step):
+            which = np.arange(at, min(at + step, len(out)))
+            out[which] = self.landmarks.kernel(different, which) @ self.beta + self.bias
+        return out[kind]
 
 
 def pooled(u: Units, values: np.ndarray) -> np.ndarray:
@@ -129,51 +198,20 @@ def pooled(u: Units, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """One weight a subsequence feature, and the calibration of the pooled values."""
+    """The machine (none: nothing was learnt), and the calibration of the pooled values."""
 
-    weights: np.ndarray
+    machine: Machine | None
     calibration: np.ndarray
-    bias: float = 0.0
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for lo, hi, raw, offsets in tokens.chunks(texts, 2 << 20):
             u = units(raw, offsets)
-            x = pooled(u, decisions(u, self.weights) + self.bias)
+            x = pooled(u, self.machine.values(u)) if self.machine and len(u.first) else np.zeros((u.texts, 2))
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
         return out
 
 
-def _subset(u: Units, which: np.ndarray) -> Units:
-    """Some units, each as a text of its own."""
-    ends = np.append(u.first[1:], len(u.symbols))
-    size = (ends - u.first)[which]
-    first = np.cumsum(size) - size
-    unit = np.repeat(np.arange(len(which)), size)
-    return Units(u.symbols[u.first[which][unit] + np.arange(len(unit)) - first[unit]], unit, first, np.arange(len(which)), len(which))
-
-
-def _entries(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit, feature, normalised weight) of all subsequences, by unit."""
-    parts = [(unit, feature, np.full(len(unit), weight)) for unit, feature, weight in _features(u)]
-    unit, feature, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(unit, kind="stable")
-    unit, feature, weight = unit[order], feature[order], weight[order]
-    norm = np.sqrt(np.maximum(np.bincount(unit, weight**2, len(u.first)), 1e-9))
-    return unit, feature, weight / norm[unit]
-
-
-def _kernel(u: Units, which: np.ndarray, marks: np.ndarray, step: int = 400) -> np.ndarray:
-    """Kernel of some units with the landmarks; ``marks`` has their features, one row a feature."""
-    out = np.zeros((len(which), marks.shape[1]))
-    for at in range(0, len(which), step):
-        part = _subset(u, which[at : at + step])
-        unit, feature, weight = _entries(part)
-        first = np.searchsorted(unit, np.arange(len(part.first)))
-        out[at : at + step] = np.add.reduceat(marks[feature] * weight[:, None], first, axis=0)
-    return out
-
-
 def _grams(u: Units) -> tuple[np.ndarray, np.ndarray]:
     """(unit, run of five symbols), by unit; shorter units give themselves."""
     s, n = u.symbols.astype(np.int64), len(u.symbols)
@@ -188,16 +226,25 @@ def _grams(u: Units) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Squared-hinge linear machine with a bias as last column, by Newton steps."""
+    """Squared-hinge linear machine with a free bias as last column, by Newton steps that are halved while they don't help."""
     b = np.zeros(z.shape[1])
-    eye = ridge * np.eye(z.shape[1])
-    for _ in range(30):
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = ridge * 1e-3
+    loss = lambda v: float((weight * np.maximum(1 - y * (z @ v), 0) ** 2).sum() + (penalty * v * v).sum())
+    now = loss(b)
+    for _ in range(60):
         gap = 1 - y * (z @ b)
         on = gap > 0
         zw = z[on] * weight[on, None]
-        step = np.linalg.solve(zw.T @ z[on] + eye, zw.T @ (y[on] * gap[on]) - eye @ b)
-        b += step
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve(zw.T @ z[on] + np.diag(penalty), zw.T @ (y[on] * gap[on]) - penalty * b)
+        scale, after = 1.0, loss(b + step)
+        while after > now and scale > 1e-4:
+            scale /= 2
+            after = loss(b + scale * step)
+        if after > now:
+            break
+        b, done, now = b + scale * step, now - after < 1e-9 * max(now, 1e-12), after
+        if done:
             break
     return b
 
@@ -216,93 +263,84 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return b
 
 
+def _standing_out(t: np.ndarray, c: np.ndarray, nt: int, nc: int) -> np.ndarray:
+    """Log-likelihood ratio against chance of being in t of nt toxic and c of nc clean texts; 0 where not clearly more toxic."""
+    share = nt / (nt + nc)
+    part = lambda x, e: x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9))
+    ratio = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
+    return np.where(ratio > 1.5, part(t, (t + c) * share) + part(c, (t + c) * (1 - share)), 0.0)
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float, options: Options = Options()) -> Model:
     """Fit on labelled texts in memory; ``prior`` is the share of toxic ones among all labelled.
 
     Without both classes the score is the prior everywhere.
     """
     logit = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
-    if toxic.all() or not toxic.any():
-        return Model(np.zeros(_DIMS), np.array([0.0, 0.0, logit]))
-    rng = np.random.default_rng(0)
     every = pa.array(texts, pa.large_string())
     offsets = np.frombuffer(every.buffers()[1], np.int64)[: len(texts) + 1]
-    u = units(np.frombuffer(every.buffers()[2], np.uint8)[: offsets[-1]], offsets)
-    names: dict[bytes, int] = {}
-    ends = np.append(u.first[1:], len(u.symbols))
-    small = u.symbols.astype(np.uint8).tobytes()
-    kind = np.array([names.setdefault(small[a:b], len(names)) for a, b in zip(u.first, ends, strict=True)], np.int64)
-    example = np.zeros(len(names), np.int64)
-    example[kind[::-1]] = np.arange(len(kind))[::-1]
-    distinct = _subset(u, example)
-    pairs = np.unique(u.text * len(names) + kind)
-    text_of, kind_of = pairs // len(names), pairs % len(names)
-    calibrating = rng.random(len(texts)) < 0.3  # fitted apart from the machine
+    u = units(np.frombuffer(every.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
+    if toxic.all() or not toxic.any() or not len(u.first):
+        return Model(None, np.array([0.0, 0.0, logit]))
+    rng = np.random.default_rng(0)
+    d, kind = distinct(u)
+    n = len(d.first)
+    pairs = np.unique(u.text * n + kind)
+    text_of, kind_of = pairs // n, pairs % n
+    calibrating = rng.random(len(texts)) < 0.25  # fitted apart from the machine
     use = ~calibrating[text_of]
-    t = np.bincount(kind_of[use & toxic[text_of]], minlength=len(names))
-    c = np.bincount(kind_of[use & ~toxic[text_of]], minlength=len(names))
-    nt, nc = max(1, (toxic & ~calibrating).sum()), max(1, (~toxic & ~calibrating).sum())
-    odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
-    # Runs of five symbols that stand out in toxic documents, by the log-likelihood ratio against chance, name the start
-    # units: a stem with many endings is found though each of its forms is rare.
-    unit, gram = _grams(distinct)
+    t = np.bincount(kind_of[use & toxic[text_of]], minlength=n)
+    c = np.bincount(kind_of[use & ~toxic[text_of]], minlength=n)
+    nt, nc = max(1, int((toxic & ~calibrating).sum())), max(1, int((~toxic & ~calibrating).sum()))
+    # Units, and runs of five symbols in them, that stand out in toxic documents: a stem with many endings is found
+    # though each of its forms is rare.
+    unit, gram = _grams(d)
     grams, gram = np.unique(gram, return_inverse=True)
-    of_kind = np.searchsorted(unit, np.arange(len(names) + 1))
-    used_text, used_kind = text_of[use], kind_of[use]
-    size = of_kind[used_kind + 1] - of_kind[used_kind]
-    at = np.repeat(of_kind[used_kind], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    seen = np.unique(np.repeat(used_text, size) * len(grams) + gram[at])
+    of_kind = np.searchsorted(unit, np.arange(n + 1))
+    size = of_kind[kind_of[use] + 1] - of_kind[kind_of[use]]
+    at = np.repeat(of_kind[kind_of[use]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    seen = np.unique(np.repeat(text_of[use], size) * len(grams) + gram[at])
     by_toxic = toxic[seen // len(grams)]
     gt = np.bincount(seen[by_toxic] % len(grams), minlength=len(grams))
     gc = np.bincount(seen[~by_toxic] % len(grams), minlength=len(grams))
-    share = nt / (nt + nc)
-    log = lambda x, e: x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9))
-    ratio = np.log((gt + 0.5) / (nt + 1)) - np.log((gc + 0.5) / (nc + 1))
-    stand = np.where(ratio > 1, log(gt, (gt + gc) * share) + log(gc, (gt + gc) * (1 - share)), 0.0)
-    evidence = np.zeros(len(names))
-    np.maximum.at(evidence, unit, stand[gram])
-    evidence = np.where(odds > 0, evidence, 0.0)
-    positive = np.flatnonzero((evidence > np.log(len(grams)) + 2) & (odds > 0.5))
-    positive = positive[np.argsort(-evidence[positive] - t[positive] / (1 + t.max()), kind="stable")][:6000]
+    evidence = _standing_out(t, c, nt, nc)
+    np.maximum.at(evidence, unit, _standing_out(gt, gc, nt, nc)[gram])
+    evidence[(t == 0) | (c * nt > t * nc / 4)] = 0
+    positive = np.flatnonzero(evidence > np.log(len(grams)) + 2)
+    positive = positive[np.argsort(-evidence[positive] - t[positive] / (1 + t.max()), kind="stable")][:4000]
     if not len(positive):
-        positive = np.argsort(-evidence, kind="stable")[:10]
+        positive = np.argsort(-_standing_out(t, c, nt, nc), kind="stable")[:10]
     clean = np.flatnonzero(c > 0)
-    p = c[clean] ** 0.5
-    negative = rng.choice(clean, min(len(clean), options.negatives), replace=False, p=p / p.sum())
-    weights = np.zeros(_DIMS)
+    weight = np.sqrt(c[clean])
+    negative = rng.choice(clean, min(len(clean), options.negatives), replace=False, p=weight / weight.sum()) if len(clean) else clean
+    negative = np.setdiff1d(negative, positive)
+    machine, best = None, None
     for _ in range(options.rounds):
-        negative = np.setdiff1d(negative, positive)
-        half = options.landmarks // 2
-        # Evident units first, then a spread of the others, then clean ones.
-        head = positive[np.argsort(-evidence[positive], kind="stable")]
-        landmarks = np.concatenate([head[: half // 2], rng.permutation(head[half // 2 :])[: half - half // 2], rng.choice(negative, min(half, len(negative)), replace=False)])
-        unit, feature, weight = _entries(_subset(distinct, landmarks))
-        marks = np.zeros((_DIMS, len(landmarks)), np.float32)
-        np.add.at(marks, (feature, unit), weight)
-        values, vectors = np.linalg.eigh((marks[np.unique(feature)].T @ marks[np.unique(feature)]).astype(float))
-        keep = values > 1e-6 * values.max()
+        # Evident units first, then a spread of the others; of the clean ones those that score highest, then a spread.
+        foot = negative[np.argsort(-best[negative], kind="stable")] if best is not None else rng.permutation(negative)
+        spread = lambda x, k: np.concatenate([x[: k // 2], rng.permutation(x[k // 2 :])[: k - k // 2]])
+        chosen = np.concatenate([spread(positive, 3 * options.landmarks // 5), spread(foot, 2 * options.landmarks // 5)])
+        marks = Landmarks.of(_subset(d, chosen))
+        values, vectors = np.linalg.eigh(marks.kernel(d, chosen))
+        keep = values > 1e-4 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        chosen = np.concatenate([positive, negative])
-        z = _kernel(distinct, chosen, marks) @ root
+        rows = np.concatenate([positive, negative])
+        z = np.vstack([marks.kernel(d, rows[i : i + 4000]) @ root for i in range(0, len(rows), 4000)])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         trust = np.sqrt(np.concatenate([t[positive], c[negative]]) + 1.0)
-        b = _svm(np.hstack([z, np.ones((len(z), 1))]), y, np.where(y > 0, 0.5 / trust[y > 0].sum(), 0.5 / trust[y < 0].sum()) * trust, options.ridge)
-        weights = marks @ (root @ b[:-1])
-        best = decisions(distinct, weights) + b[-1]
-        # Next round: the highest units of toxic texts that clean texts don't hold as often, the highest of clean ones.
+        trust = trust * np.where(y > 0, 0.3 / trust[y > 0].sum(), 0.7 / max(1e-9, trust[y < 0].sum()))
+        b = _svm(np.hstack([z, np.ones((len(z), 1))]), y, trust, options.ridge)
+        machine = Machine(marks, root @ b[:-1], float(b[-1]))
+        best = machine.values(d)
         order = np.lexsort((-best[kind_of], text_of))
         rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
-        top = order[(rank < 3) & use[order]]
-        up = kind_of[order[(rank == 0) & use[order] & toxic[text_of[order]]]]
-        down = kind_of[top[~toxic[text_of[top]]]]
-        positive = np.unique(np.concatenate([positive, up[(odds[up] > 1) & (best[up] > 0)]]))
-        negative = np.unique(np.concatenate([negative, down]))
-    bias = b[-1]
-    x = pooled(u, best[kind])[calibrating]
-    fitted = _logistic(x, toxic[calibrating].astype(float)) if toxic[calibrating].any() and not toxic[calibrating].all() else np.array([2.0, 0, 0])
-    share = toxic[calibrating].mean() if calibrating.any() else 0.5
+        hard = order[(rank < 3) & use[order] & ~toxic[text_of[order]]]
+        negative = np.setdiff1d(np.concatenate([negative, kind_of[hard]]), positive)
+    x, y = pooled(u, best[kind])[calibrating], toxic[calibrating].astype(float)
+    share = y.mean() if len(y) else 0.5
+    fitted = _logistic(x, y) if 0 < share < 1 else np.array([3.0, 1.0, -2.0])
     fitted[-1] += logit - float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    return Model(weights, fitted, float(bias))
+    return Model(machine, fitted)
 
 
 def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -326,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), doc_
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score`` of every whole text; null texts are empty."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB: one weight a feature
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some MB: the landmarks' features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
