@@ -53,9 +53,9 @@ class Options:
     those whose ids hash lowest.
     """
 
-    per_class: int = 2000
+    per_class: int = 1500
     landmarks: int = 800
-    negatives: int = 20_000
+    negatives: int = 10_000
     rounds: int = 4
     ridge: float = 1e-4
     threshold: float = 0.3
@@ -112,14 +112,14 @@ def _features(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield u.unit[:m][inside], code[inside].astype(np.int32), _SKIP**skipped
 
 
-def distinct(u: Units) -> tuple[Units, np.ndarray]:
-    """The different units, and which of them each unit is."""
+def distinct(u: Units) -> tuple[Units, np.ndarray, np.ndarray]:
+    """The different units, which of them each unit is, and their hashes."""
     table = np.random.default_rng(99).integers(1, 2**63, (64, 1024), dtype=np.uint64)
     place = np.arange(len(u.symbols)) - u.first[u.unit]
     mixed = table[u.symbols, place & 1023] * (2 * (place >> 10) + 1).astype(np.uint64)
     key = np.add.reduceat(mixed, u.first) if len(u.first) else np.zeros(0, np.uint64)
-    _, example, kind = np.unique(key, return_index=True, return_inverse=True)
-    return _subset(u, example), kind
+    keys, example, kind = np.unique(key, return_index=True, return_inverse=True)
+    return _subset(u, example), kind, keys
 
 
 def _subset(u: Units, which: np.ndarray) -> Units:
@@ -180,7 +180,7 @@ class Machine:
 
     def values(self, u: Units, step: int = 4000) -> np.ndarray:
         """The machine's value of every unit; each different unit is worked out once."""
-        different, kind = distinct(u)
+        different, kind, _ = distinct(u)
         out = np.zeros(len(different.first))
         for at in range(0, len(out), step):
             which = np.arange(at, min(at + step, len(out)))
@@ -204,12 +204,42 @@ class Model:
     calibration: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for lo, hi, raw, offsets in tokens.chunks(texts, 2 << 20):
-            u = units(raw, offsets)
-            x = pooled(u, self.machine.values(u)) if self.machine and len(u.first) else np.zeros((u.texts, 2))
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
-        return out
+        x = _pooled_texts(self.machine, texts)
+        return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
+
+
+def _pooled_texts(machine: Machine | None, texts: pa.Array) -> np.ndarray:
+    out = np.zeros((len(texts), 2))
+    for lo, hi, raw, offsets in tokens.chunks(texts, 1 << 20):
+        u = units(raw, offsets)
+        if machine and len(u.first):
+            out[lo:hi] = pooled(u, machine.values(u))
+    return out
+
+
+def _vocabulary(texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
+    """The different units of some texts, and (text, unit) of each text's different units, by text; worked out in pieces."""
+    text_of, key_of, keys, symbols, sizes = [], [], [], [], []
+    for lo, _, raw, offsets in tokens.chunks(texts, 1 << 20):
+        u = units(raw, offsets)
+        d, kind, key = distinct(u)
+        pair = np.unique(u.text * max(1, len(key)) + kind)
+        text_of.append((lo + pair // max(1, len(key))).astype(np.int32))
+        key_of.append(key[pair % max(1, len(key))])
+        keys.append(key)
+        symbols.append(d.symbols.astype(np.uint8))
+        sizes.append(np.diff(np.append(d.first, len(d.symbols))))
+    joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    size = joined(sizes, np.int64)
+    first = np.cumsum(size) - size
+    every, example = np.unique(joined(keys, np.uint64), return_index=True)
+    # Cut the units out of the pieces without a table of all their symbols' owners.
+    size, first = size[example], first[example]
+    start = np.cumsum(size) - size
+    unit = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(unit)) - start[unit] + first[unit]
+    d = Units(joined(symbols, np.uint8)[at].astype(np.int32), unit, start, np.arange(len(size)), len(size))
+    return d, joined(text_of, np.int32).astype(np.int64), np.searchsorted(every, joined(key_of, np.uint64))
 
 
 def _grams(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +266,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.n
         gap = 1 - y * (z @ b)
         on = gap > 0
         zw = z[on] * weight[on, None]
-        step = np.linalg.solve(zw.T @ z[on] + np.diag(penalty), zw.T @ (y[on] * gap[on]) - penalty * b)
+        step = np.linalg.solve((zw.T @ z[on]).astype(float) + np.diag(penalty), zw.T @ (y[on] * gap[on]) - penalty * b)
         scale, after = 1.0, loss(b + step)
         while after > now and scale > 1e-4:
             scale /= 2
@@ -278,15 +308,11 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, options: Options = Op
     """
     logit = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     every = pa.array(texts, pa.large_string())
-    offsets = np.frombuffer(every.buffers()[1], np.int64)[: len(texts) + 1]
-    u = units(np.frombuffer(every.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets)
-    if toxic.all() or not toxic.any() or not len(u.first):
+    d, text_of, kind_of = _vocabulary(every)
+    n = len(d.first)
+    if toxic.all() or not toxic.any() or not n:
         return Model(None, np.array([0.0, 0.0, logit]))
     rng = np.random.default_rng(0)
-    d, kind = distinct(u)
-    n = len(d.first)
-    pairs = np.unique(u.text * n + kind)
-    text_of, kind_of = pairs // n, pairs % n
     calibrating = rng.random(len(texts)) < 0.25  # fitted apart from the machine
     use = ~calibrating[text_of]
     t = np.bincount(kind_of[use & toxic[text_of]], minlength=n)
@@ -297,12 +323,15 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, options: Options = Op
     unit, gram = _grams(d)
     grams, gram = np.unique(gram, return_inverse=True)
     of_kind = np.searchsorted(unit, np.arange(n + 1))
-    size = of_kind[kind_of[use] + 1] - of_kind[kind_of[use]]
-    at = np.repeat(of_kind[kind_of[use]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    seen = np.unique(np.repeat(text_of[use], size) * len(grams) + gram[at])
-    by_toxic = toxic[seen // len(grams)]
-    gt = np.bincount(seen[by_toxic] % len(grams), minlength=len(grams))
-    gc = np.bincount(seen[~by_toxic] % len(grams), minlength=len(grams))
+    gt, gc = np.zeros(len(grams)), np.zeros(len(grams))
+    for lo in range(0, len(texts), 200):
+        own = np.flatnonzero(use & (text_of >= lo) & (text_of < lo + 200))
+        size = of_kind[kind_of[own] + 1] - of_kind[kind_of[own]]
+        at = np.repeat(of_kind[kind_of[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        seen = np.unique(np.repeat(text_of[own], size) * len(grams) + gram[at])
+        by_toxic = toxic[seen // len(grams)]
+        gt += np.bincount(seen[by_toxic] % len(grams), minlength=len(grams))
+        gc += np.bincount(seen[~by_toxic] % len(grams), minlength=len(grams))
     evidence = _standing_out(t, c, nt, nc)
     np.maximum.at(evidence, unit, _standing_out(gt, gc, nt, nc)[gram])
     evidence[(t == 0) | (c * nt > t * nc / 4)] = 0
@@ -325,18 +354,20 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, options: Options = Op
         keep = values > 1e-4 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         rows = np.concatenate([positive, negative])
-        z = np.vstack([marks.kernel(d, rows[i : i + 4000]) @ root for i in range(0, len(rows), 4000)])
+        z = np.ones((len(rows), root.shape[1] + 1), np.float32)
+        for i in range(0, len(rows), 2000):
+            z[i : i + 2000, :-1] = marks.kernel(d, rows[i : i + 2000]) @ root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         trust = np.sqrt(np.concatenate([t[positive], c[negative]]) + 1.0)
         trust = trust * np.where(y > 0, 0.3 / trust[y > 0].sum(), 0.7 / max(1e-9, trust[y < 0].sum()))
-        b = _svm(np.hstack([z, np.ones((len(z), 1))]), y, trust, options.ridge)
+        b = _svm(z, y.astype(np.float32), trust.astype(np.float32), options.ridge)
         machine = Machine(marks, root @ b[:-1], float(b[-1]))
         best = machine.values(d)
         order = np.lexsort((-best[kind_of], text_of))
         rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
         hard = order[(rank < 3) & use[order] & ~toxic[text_of[order]]]
         negative = np.setdiff1d(np.concatenate([negative, kind_of[hard]]), positive)
-    x, y = pooled(u, best[kind])[calibrating], toxic[calibrating].astype(float)
+    x, y = _pooled_texts(machine, every.take(pa.array(np.flatnonzero(calibrating)))), toxic[calibrating].astype(float)
     share = y.mean() if len(y) else 0.5
     fitted = _logistic(x, y) if 0 < share < 1 else np.array([3.0, 1.0, -2.0])
     fitted[-1] += logit - float(np.log((share + 1e-6) / (1 - share + 1e-6)))
