@@ -121,9 +121,13 @@ def near_duplicates(vectors: DataFrame, how: Pigeonhole = Pigeonhole(), vec_id:
     sized = placed.join(loads.select(*key, chunks.alias("chunks")), key)
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    meet = F.when(F.col("home"), F.transform(others, lambda d: F.struct(F.least(d, F.col("mine")).alias("c"), F.greatest(d, F.col("mine")).alias("d")))).otherwise(
-        F.transform(others, lambda c: F.struct(c.alias("c"), (F.col("mine") + F.col("chunks")).alias("d")))
-    )
+    meet = F.when(
+        F.col("home"),
+        F.concat(
+            F.transform(others, lambda d: F.struct(F.least(d, F.col("mine")).alias("c"), F.greatest(d, F.col("mine")).alias("d"))),
+            F.transform(others, lambda d: F.struct(F.col("mine").alias("c"), (d + F.col("chunks")).alias("d"))),
+        ),
+    ).otherwise(F.transform(others, lambda c: F.struct(c.alias("c"), (F.col("mine") + F.col("chunks")).alias("d"))))
     sent = sized.withColumn("mine", mine).withColumn("m", F.explode(F.array_distinct(meet))).select("rep", "copies", "v", "home", "mine", *key, "m.c", "m.d")
 
     def compare(table: pa.Table) -> pa.Table:
