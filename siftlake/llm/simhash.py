@@ -18,11 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm import tokens
-from siftlake.llm.common import written
+from siftlake.llm.common import forget, written
 from siftlake.llm.components import components
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -191,28 +191,69 @@ def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, width: int = 3) -> DataFrame:
-    """``doc_id, text_hash, sig, sketch, shingles``: ``width`` SimHashes of each text's set of shingles.
+def shingle_counts(docs: DataFrame, text: str = "text", words: int = 5, bits: int = 22) -> np.ndarray:
+    """How often shingles occur, summed over those whose hashes end in the same ``bits`` bits; large numbers are cut off.
 
-    ``sig`` is a hash of the set; it is null for texts without words.
+    It only orders shingles, so that rare ones come first: any numbers give the same result.
+    """
+    share = 1 << max(bits - 6, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            for _, _, raw, offsets in tokens.chunks(b.column(0)):
+                h, _ = tokens.shingle_hashes(tokens.words(raw, offsets), words, 42)
+                at, n = np.unique(h & np.uint64((1 << bits) - 1), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        cut = np.minimum(total, 255).astype(np.uint8)
+        parts = [cut[at : at + share].tobytes() for at in range(0, len(cut), share)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.uint8).astype(np.uint32) for c in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
+
+    shape = "part int, counts binary"
+    got = docs.select(F.col(text).alias("text")).mapInArrow(run, shape).groupBy("part").applyInArrow(add, shape).collect()
+    out = np.zeros(1 << bits, np.uint16)
+    for part, counts in got:
+        out[part * share : (part + 1) * share] = np.frombuffer(counts, "<u2")
+    return out
+
+
+def prefixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, text_hash, sig, size, prefix``: a hash of each text's set of shingles, its size and its rarest shingles.
+
+    All texts order shingles alike, rare ones first. The prefix is so long
+    that two sets of the given Jaccard similarity or more have a shingle of
+    their prefixes in common. ``sig`` is null for texts without words.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "text_hash", "sig", "sketch"]
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, words))
+    names = ["doc_id", "text_hash", "sig", "size", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        mask = np.uint64(len(often) - 1)
         for b in batches:
             sig: list[int | None] = []
-            sketch: list[bytes] = []
+            size: list[int] = []
+            prefix: list[np.ndarray] = []
             for _, _, raw, offsets in tokens.chunks(b.column(2)):
                 h, bounds = tokens.shingle_hashes(tokens.words(raw, offsets), words, 42)
                 for x, y in zip(bounds, bounds[1:], strict=False):
                     own = np.unique(h[x:y])
-                    sketch.append(b"".join(majority(remix(own, k)).to_bytes(8, "little") for k in range(width)))
-                    sig.append(int((remix(own, 11).sum(dtype=np.uint64) ^ remix(np.array([len(own)], np.uint64), 12)[0]).view(np.int64)) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.int64()), pa.array(sketch, pa.binary())], names)
+                    n = len(own)
+                    first = n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
+                    prefix.append(own[np.lexsort((own, often[own & mask]))[:first]].view(np.int64))
+                    size.append(n)
+                    sig.append(int((remix(own, 11).sum(dtype=np.uint64) ^ remix(np.array([n], np.uint64), 12)[0]).view(np.int64)) if n else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names
+            )
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, text_hash long, sig long, sketch binary")
+    return given.mapInArrow(run, f"doc_id {kind}, text_hash long, sig long, size int, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -228,72 +269,69 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("sig", "text").mapInArrow(run, "sig long, shingles array<long>")
 
 
-def candidate_pairs(nodes: DataFrame, most: int, ball: Ball = Ball(32, 2), width: int = 3, span: int = 8) -> DataFrame:
-    """``a, b``: pairs of sketches (``sig, sketch``) at most ``most`` bits apart, found by ball hashing of each 32-bit part.
-
-    In a group of equal variants rows at most ``span`` apart in an order that
-    differs from group to group are paired; a pair shares hundreds of groups.
-    """
-    n = ball.route_bits(nodes.count())
-    tables = width * 64 // ball.bits
-
-    def parts(sketch: np.ndarray, table: int) -> np.ndarray:
-        """One 32-bit part of each sketch."""
-        return (sketch[:, table // 2] >> np.uint64(32 * (table % 2))) & np.uint64(0xFFFFFFFF)
-
-    def matrix(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """``shingle, sig, size, at, low, low_size`` of prefix shingles that several sets have; ``low`` is the next smaller set of the shingle."""
+    each = nodes.select("sig", "size", F.posexplode("prefix").alias("at", "shingle"))
+    by = Window.partitionBy("shingle").orderBy("size", "sig")
+    beside = each.select("shingle", "sig", "size", "at", F.lag("sig").over(by).alias("low"), F.lag("size").over(by).alias("low_size"), F.lead("sig").over(by).alias("high"))
+    return beside.where("low IS NOT NULL OR high IS NOT NULL").drop("high")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sketch = matrix(b.column(1))
-            for table in range(tables):
-                for at in range(0, b.num_rows, 4096):
-                    rows, key, left = ball.routes(parts(sketch[at : at + 4096], table), n)
-                    part = b.take(pa.array(at + rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), table, np.int32)), pa.array(key.astype(np.int32)), pa.array(left), *part.columns], ["part", "key", "flips", "sig", "sketch"]
-                    )
 
-    def group(table: pa.Table) -> pa.Table:
-        sketch, sig = matrix(table.column("sketch")), table.column("sig").to_numpy()
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for x, y in ball.meet(parts(sketch, table.column("part")[0].as_py()), table.column("flips").to_numpy(), n, span):
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= most
-            found.append(np.stack([np.minimum(sig[x][near], sig[y][near]), np.maximum(sig[x][near], sig[y][near])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of sets that may be similar and are not connected by ``roots`` (``node, root``).
 
-    sent = nodes.select("sig", "sketch").mapInArrow(send, "part int, key int, flips byte, sig long, sketch binary")
-    return sent.groupBy("part", "key").applyInArrow(group, "a long, b long").distinct()
+    Every two sets with a common prefix shingle are paired, unless their
+    sizes or the places of the shingle leave too few others in common.
+    """
+    placed = shared.select("shingle", "sig", "size", "at").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("shingle").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("shingle")
+    rows = written(placed.join(mixed, "shingle", "left_semi"), "open")
+    forget(placed)
+    x, y = rows.alias("x"), rows.alias("y")
+    order = F.expr("x.shingle = y.shingle AND (x.size < y.size OR (x.size = y.size AND x.sig < y.sig)) AND x.root <> y.root")
+    size = F.col("x.size") >= F.lit(similarity) * F.col("y.size") - 1e-6
+    need = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    place = F.expr("least(x.size - x.at, y.size - y.at)") >= need
+    return x.join(y, order & size & place).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id.
 
     Groups are connected by pairs whose sets of shingles have a Jaccard
-    similarity of at least ``similarity``; candidates come from three
-    SimHashes, cut into 32-bit parts, by ball hashing, and are verified
-    exactly. Documents without words are never grouped. Of repeated rows of
-    an id one stays; null ids come before others, ties go by text hash.
+    similarity of at least ``similarity``. The search is exact: each pair
+    shares a shingle of its prefixes. Neighbours in size under a shingle are
+    verified first; then all other pairs that those links leave unconnected.
+    Documents without words are never grouped. Of repeated rows of an id one
+    stays; null ids come before others, ties go by text hash.
     """
-    width = 3
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
-    most = math.floor(64 * width * p + 4 * math.sqrt(64 * width * p * (1 - p)))
-    rows = written(sketches(docs, doc_id, text, words, width), "sketches")
+    rows = written(prefixes(docs, doc_id, text, words, similarity), "prefixes")
     have = rows.where("sig IS NOT NULL")
-    nodes = written(have.groupBy("sig").agg(F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("low")), "nodes")
-    pairs = written(candidate_pairs(nodes, most, width=width), "pairs")
-    used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = nodes.join(used, "sig").select("sig", F.col("low.doc_id").alias("__id"), F.col("low.text_hash").alias("__hash"))
+    nodes = written(
+        have.groupBy("sig").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("low")), "nodes"
+    )
+    shared = written(shared_prefixes(nodes), "shared")
     given = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("text"), F.xxhash64(text).alias("__text"))
-    texts = given.join(wanted, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))).select("sig", "text")
-    sets = written(shingle_sets(texts, words).dropDuplicates(["sig"]), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b")
+
+    def similar(pairs: DataFrame, what: str) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        wanted = nodes.join(used, "sig").select("sig", F.col("low.doc_id").alias("__id"), F.col("low.text_hash").alias("__hash"))
+        texts = given.join(wanted, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))).select("sig", "text")
+        sets = written(shingle_sets(texts, words).dropDuplicates(["sig"]), "sets")
+        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        counted = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n"))
+        out = written(counted.where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b"), what)
+        forget(pairs, sets)
+        return out
+
+    beside = shared.where(F.col("low_size") >= F.lit(similarity) * F.col("size") - 1e-6).select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct()
+    near = similar(beside, "near")
+    linked = near.unionByName(similar(open_pairs(shared, components(near), similarity), "far"))
     roots = components(linked)
+    forget(shared)
     named = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("keep"))
     kept = named.join(lowest, "root").select("sig", "keep")

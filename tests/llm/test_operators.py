@@ -330,6 +330,34 @@ def test_one_of_each_against_brute_force(spark):
     assert {900, 901, 902, None, 0} <= {r.doc_id for r in kept} and 903 not in {r.doc_id for r in kept}
 
 
+def kept_against_brute_force(spark, texts):
+    """How many documents stay, and how many should by all pairs."""
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    number, sets = {}, []
+    for t in texts:
+        w = words_of(t)
+        sets.append({number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(max(1, len(w) - 4))})
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, list(s)] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    a, b = np.nonzero(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-3, 1))
+    return kept, len(set(brute_components(range(len(texts)), zip(a.tolist(), b.tolist())).values()))
+
+
+def test_one_of_each_compares_all_of_a_cluster_of_thousands(spark):
+    rng = random.Random(13)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    shared, texts = random_text(rng, 70, vocabulary), []
+    for _ in range(1200):
+        own = [rng.choice(vocabulary) for _ in range(25)]
+        changed = own[:]
+        changed[rng.randrange(25)] = "changed"
+        texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(changed)}"]
+    kept, right = kept_against_brute_force(spark, texts)
+    assert kept == right == 1200
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(5, 5), (None, 3), (200, 7)]
