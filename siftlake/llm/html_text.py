@@ -5,7 +5,8 @@ length of its text; lines of menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, and lines that are mostly link text,
 weigh nothing. Weights are summed over a sliding window of lines: where the
 sums surge the main text begins, where they dive to nothing it ends, and
-the lines between are kept.
+the lines between are kept. Marks of main text add weight; they don't
+exclude other lines.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "
 
 @dataclass(frozen=True)
 class Distribution:
-    """Lines in a window, and the sum of text that makes a surge on pages that mark no article."""
+    """Lines in a window, the sum of unmarked text that makes a surge, and how often marked text counts."""
 
     window: int = 3
     surge: int = 86
+    marked: int = 2
 
 
 def _marks(name: str, attributes: str) -> tuple[bool, bool]:
@@ -147,28 +149,39 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 def main_text(html: str | None, how: Distribution = Distribution()) -> str:
     """The kept lines joined by one space; null or empty pages give an empty text.
 
-    Where the page marks its main text (article, main), lines outside weigh
-    nothing and any text there is a surge, so short articles stay whole.
+    Lines that the page marks (article, main) count ``how.marked`` times and
+    surge whatever their length, so short articles stay whole. The marked
+    lines together and each region of other lines then compete: what weighs
+    less than half of the heaviest goes. On pages that mark nothing all
+    regions stay, and all lines with weight where none surges.
     """
     if not html:
         return ""
     found = lines(html)
-    marked = any(inside for _, _, inside in found)
-    weight = [len(t) if (inside or not marked) and (marked or 2 * link < len(t)) else 0 for t, link, inside in found]
-    sums = [sum(weight[i : i + how.window]) for i in range(len(weight))]
-    least = 1 if marked else how.surge
-    regions, i = [], 0
-    while i < len(sums):
-        if sums[i] >= least and weight[i]:
-            j = i
-            while j < len(sums) and sums[j]:
-                j += 1
-            regions.append((i, j))
-            i = j
-        i += 1
-    if not regions and not marked:
-        best = max(range(len(weight)), key=weight.__getitem__, default=-1)
-        regions = [(best, best + 1)] if best >= 0 and weight[best] else []
+    weight = [len(t) * (how.marked if inside else 1) if inside or 2 * link < len(t) else 0 for t, link, inside in found]
+    near = lambda i: sum(weight[k] for k in range(i, min(i + how.window, len(found))) if found[k][2] == found[i][2] or not weight[k])
+    sums = [near(i) for i in range(len(weight))]
+
+    def surges(least: int) -> list[tuple[int, int]]:
+        regions, i = [], 0
+        while i < len(sums):
+            inside = found[i][2]
+            if weight[i] and (inside or sums[i] >= least):
+                j = i
+                while j < len(sums) and sums[j] and (found[j][2] == inside or not weight[j]):
+                    j += 1
+                regions.append((i, j))
+                i = j
+            else:
+                i += 1
+        return regions
+
+    regions = surges(how.surge) or surges(1)
+    total = [sum(weight[a:b]) for a, b in regions]
+    marks = sum(t for t, (a, _) in zip(total, regions, strict=True) if found[a][2])
+    if marks:
+        total = [marks if found[a][2] else t for t, (a, _) in zip(total, regions, strict=True)]
+        regions = [r for r, t in zip(regions, total, strict=True) if 2 * t >= max(total)]
     return " ".join(found[k][0] for a, b in regions for k in range(a, b) if weight[k])
 
 

@@ -167,6 +167,17 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_is_chosen_by_weight_not_by_tag():
+    body = [f"Paragraph {i} of the body, which is long enough to be told from the rest." for i in range(8)]
+    divs = "".join(f"<div>{b}</div>" for b in body)
+    for teaser in ("<article><p>Another story.</p></article>", "<div role=article>Another story.</div>"):
+        assert html_text.main_text(f"<body>{divs}{teaser}</body>") == " ".join(body)
+        assert html_text.main_text(f"<body>{teaser}{divs}</body>") == " ".join(body)
+    assert html_text.main_text(f"<body><div>{body[0]} {body[1]}</div><article>{divs}</article><div>Printed here.</div></body>") == " ".join(body)
+    verse = ["Short lines", "make a verse", "and stay", "all four"]
+    assert html_text.main_text("<body><div class=nav>Home</div>" + "".join(f"<p>{v}</p>" for v in verse) + "</body>") == " ".join(verse)
+
+
 # 4 Mixing
 
 
