@@ -356,17 +356,18 @@ def kept_against_brute_force(spark, texts):
     return kept, len(set(brute_components(range(len(texts)), zip(a.tolist(), b.tolist())).values()))
 
 
-def test_one_of_each_compares_all_of_a_cluster_of_thousands(spark):
+def test_one_of_each_compares_all_of_a_cluster_of_thousands_and_short_texts(spark):
     rng = random.Random(13)
     vocabulary = ["w%d" % i for i in range(3000)]
-    shared, texts = random_text(rng, 70, vocabulary), []
-    for _ in range(1200):
-        own = [rng.choice(vocabulary) for _ in range(25)]
-        changed = own[:]
-        changed[rng.randrange(25)] = "changed"
-        texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(changed)}"]
+    shared, texts = random_text(rng, 190, vocabulary), []
+    for g in range(1000):  # pairs at 0.84 among texts at 0.79
+        own = " ".join(f"own{g}-{k}" for k in range(6))
+        texts += [f"{shared} {own} " + " ".join(f"rest{g}-{v}-{k}" for k in range(18)) for v in range(2)]
+    for _ in range(400):  # four shingles and one more: exactly 0.8
+        short = random_text(rng, 8, vocabulary)
+        texts += [short, f"{short} {rng.choice(vocabulary)}"]
     kept, right = kept_against_brute_force(spark, texts)
-    assert kept == right == 1200
+    assert kept == right == 1400
 
 
 def test_components(spark):
