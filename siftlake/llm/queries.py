@@ -25,7 +25,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"))
+    return ngram_lm.held_out_scores(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftlake.llm import chat, components, decontaminate, embed_dedup, html_text, mixing, ngram_lm, pseudonyms, secrets, simhash, tokens, toxicity
+from siftlake.llm import chat, components, decontaminate, embed_dedup, html_text, mixing, ngram_lm, pseudonyms, queries, secrets, simhash, tokens, toxicity
 
 DOCS = "doc_id long, text string, extra int"
 
@@ -145,6 +145,12 @@ def test_untrained_model(spark):
     assert ngram_lm.score(empty, model).count() == 0
 
 
+def test_registered_language_model_has_order_3(monkeypatch):
+    monkeypatch.setattr(queries, "_table", lambda *_: None)
+    monkeypatch.setattr(ngram_lm, "held_out_scores", lambda docs, order=2, folds=10: order)
+    assert queries.op2_ngram_lm(None, "") == 3
+
+
 # 3 HTML
 
 PAGE = (
