@@ -225,10 +225,11 @@ def literal_type(spark: SparkSession, value) -> T.DataType:
     return spark.range(1).select(F.lit(value).alias("v")).schema["v"].dataType
 
 
-def entries(spark: SparkSession, path: str, kind: str, col: str, contains: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Keys of an index with the row groups that hold them, by key; ``contains`` ignores case."""
+def entries(spark: SparkSession, path: str, kind: str, col: str, contains: str | None = None, offset: int = 0, limit: int | None = 100) -> DataFrame:
+    """Keys of an index with the row groups that hold them, by key; ``contains`` ignores case, no ``limit`` gives all."""
     df = spark.read.parquet(directory(path, kind, col)).where("value IS NOT NULL")
     if contains:
         df = df.where(F.contains(F.lower("value"), F.lit(contains.lower())))
     grouped = df.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("file", "row_group"))).alias("row_groups"))
-    return grouped.orderBy("value").offset(offset).limit(limit)
+    rest = grouped.orderBy("value").offset(offset)
+    return rest if limit is None else rest.limit(limit)

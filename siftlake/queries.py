@@ -308,12 +308,12 @@ _register(
 )
 _register(
     "bitmap_index_entries",
-    lambda s, d: indexes.entries(s, _clustered(s, d), indexes.BITMAP, "p_brand", limit=1000).select(F.col("value").alias("p_brand")),
+    lambda s, d: indexes.entries(s, _clustered(s, d), indexes.BITMAP, "p_brand", limit=None).select(F.col("value").alias("p_brand")),
     "SELECT DISTINCT p_brand FROM part",
 )
 _register(
     "term_index_entries",
-    lambda s, d: indexes.entries(s, _clustered(s, d), indexes.TERMS, "p_name", limit=10**6).select(F.col("value").alias("term")),
+    lambda s, d: indexes.entries(s, _clustered(s, d), indexes.TERMS, "p_name", limit=None).select(F.col("value").alias("term")),
     f"SELECT DISTINCT unnest({_SQL_TOKENS.format('p_name')}) AS term FROM part",
 )
 _register(

@@ -171,3 +171,11 @@ def test_entry_without_the_corpus_subpackage(monkeypatch):
     assert "pushdown_select" in entry.queries() and not any(k.startswith("op1_") for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_entries_without_limit_give_all_keys(spark, tmp_path):
+    at = str(tmp_path / "data")
+    path = indexes.directory(at, indexes.BITMAP, "name")
+    spark.range(1200).selectExpr("cast(id AS string) AS value", "'f' AS file", "0 AS row_group").write.parquet(path)
+    assert indexes.entries(spark, at, indexes.BITMAP, "name", limit=None).count() == 1200
+    assert indexes.entries(spark, at, indexes.BITMAP, "name").count() == 100
