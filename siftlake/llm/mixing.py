@@ -4,20 +4,21 @@ A labelled table trains a naive Bayes classifier (normal densities of a few
 measures of the text, frequencies of categories) whose posteriors are soft
 memberships in domains. Nonnegative rates of the documents are then fitted
 by projected-gradient least squares so that the expected token totals of
-the domains match the targets. A step only needs the totals and a matrix of
-the size of the domains, summed by Spark; the rate of a document is a
-function of its posteriors, so nothing per document reaches the driver.
+the domains match the targets. A step only needs the totals by domain,
+summed by Spark; the rate of a document is a function of its posteriors, so
+nothing per document reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import written
+from siftlake.llm.common import forget, written
 
 MEASURES = ("log_words", "word_chars", "other_bytes", "symbols", "capitals", "distinct_words")
 
@@ -53,10 +54,14 @@ class Classifier:
     categories: tuple[str, ...]
     frequencies: tuple[tuple[dict, ...], ...]
 
+    def renamed(self, categories: tuple[str, ...]) -> Classifier:
+        return replace(self, categories=tuple(categories))
+
     def posteriors(self, measured: Column, category: dict[str, Column]) -> list[Column]:
-        """One column a domain; they add up to 1."""
+        """One column a domain; they add up to 1. A domain with prior 0 has posterior 0."""
         logs = []
-        for k in range(len(self.domains)):
+        seen = [k for k, p in enumerate(self.priors) if p > 0]
+        for k in seen:
             s = F.lit(math.log(self.priors[k]))
             for name, (mean, sd) in zip(MEASURES, self.normals[k], strict=True):
                 z = F.least(F.abs(measured[name] - mean) / sd, F.lit(6.0))  # an outlier alone doesn't decide
@@ -70,122 +75,167 @@ class Classifier:
             logs.append(s)
         top = F.greatest(*logs) if len(logs) > 1 else logs[0]
         parts = [F.exp(s - top) for s in logs]
-        return [p / sum(parts[1:], parts[0]) for p in parts]
+        shares = {k: p / sum(parts[1:], parts[0]) for k, p in zip(seen, parts, strict=True)}
+        return [shares.get(k, F.lit(0.0)) for k in range(len(self.domains))]
 
 
-def classifier(rows: DataFrame, domain: str, categories: tuple[str, ...] = (), most: int = 100) -> Classifier:
+def classifier(rows: DataFrame, domain: str, categories: tuple[str, ...] = (), domains: tuple[str, ...] | None = None, most: int = 100) -> Classifier:
     """Fit on ``rows`` with the measures, ``domain`` and categories; rows without a domain are left out.
 
-    Only sums by domain (at most ``most``) and by category value (the
-    ``most`` most frequent of each) reach the driver; other values share one
-    frequency.
+    ``domains`` fixes the domains and their order; those without rows get
+    prior 0, with a warning, and no rows at all give equal priors. Only sums
+    by domain (at most ``most``) and by category value (the ``most`` most
+    frequent of each) reach the driver; other values share one frequency.
     """
     rows = rows.where(F.col(domain).isNotNull())
     stats = rows.groupBy(F.col(domain).cast("string").alias("d")).agg(
         F.count("*").alias("n"), *[f(m).alias(f"{a}_{m}") for m in MEASURES for a, f in (("mean", F.avg), ("sd", F.stddev_pop))]
     )
-    got = stats.orderBy("d").limit(most + 1).collect()
-    if len(got) > most:
+    got = {r["d"]: r for r in stats.orderBy("d").limit(most + 1).collect()}
+    if len(got) > most or len(domains or ()) > most:
         raise ValueError(f"more than {most} domains")
+    names = tuple(domains or got)
+    if not names:
+        raise ValueError("no domains")
+    if missing := [d for d in names if d not in got]:
+        warnings.warn(f"no labelled documents of {', '.join(missing)}", stacklevel=2)
     if not got:
-        raise ValueError("no labelled rows")
-    total = sum(r["n"] for r in got)
-    frequencies: list[list[dict]] = [[] for _ in got]
+        flat = tuple((0.0, 1.0) for _ in MEASURES)
+        return Classifier(names, (1 / len(names),) * len(names), (flat,) * len(names), tuple(categories), (tuple({None: 1.0} for _ in categories),) * len(names))
+    total = sum(got[d]["n"] for d in names if d in got)
+    frequencies: dict[str, list[dict]] = {d: [] for d in names}
     for c in categories:
         values = [r[0] for r in rows.groupBy(F.col(c).cast("string").alias("c")).count().where("c IS NOT NULL").orderBy(F.desc("count"), "c").limit(most).collect()]
         counts = {(r[0], r[1]): r[2] for r in rows.where(F.col(c).cast("string").isin(values)).groupBy(F.col(domain).cast("string"), F.col(c).cast("string")).count().collect()}
-        for k, r in enumerate(got):
-            out = {v: (counts.get((r["d"], v), 0) + 1) / (r["n"] + len(values) + 1) for v in values}
-            frequencies[k].append(out | {None: 1 / (r["n"] + len(values) + 1)})
+        for d in names:
+            n = got[d]["n"] if d in got else 0
+            out = {v: (counts.get((d, v), 0) + 1) / (n + len(values) + 1) for v in values}
+            frequencies[d].append(out | {None: 1 / (n + len(values) + 1)})
+    normal = lambda r, m: (r[f"mean_{m}"], max(r[f"sd_{m}"], 0.02 * abs(r[f"mean_{m}"]), 1e-3))
     return Classifier(
-        tuple(r["d"] for r in got),
-        tuple(r["n"] / total for r in got),
-        tuple(tuple((r[f"mean_{m}"], max(r[f"sd_{m}"], 0.02 * abs(r[f"mean_{m}"]), 1e-3)) for m in MEASURES) for r in got),
+        names,
+        tuple(got[d]["n"] / total if d in got else 0.0 for d in names),
+        tuple(tuple(normal(got[d], m) if d in got else (0.0, 1.0) for m in MEASURES) for d in names),
         tuple(categories),
-        tuple(tuple(f) for f in frequencies),
+        tuple(tuple(frequencies[d]) for d in names),
     )
 
 
 @dataclass(frozen=True)
 class Rates:
-    """The steps that lead to the rates; :meth:`rate` is a function of the posteriors."""
+    """The gradient steps that lead to the rates; :meth:`rate` is a function of the posteriors.
+
+    ``converged`` tells whether half the squared residual is proven to be
+    within the tolerance of the least possible; ``gap`` is that proof's bound.
+    """
 
     steps: tuple[tuple[float, ...], ...]
     start: float
     totals: tuple[float, ...]
     targets: tuple[float, ...]
+    gap: float = 0.0
+    converged: bool = True
+
+    def rate(self, posteriors: list[Column], start: Column | None = None) -> Column:
+        r = F.lit(self.start) if start is None else start
+        if len(self.steps) <= _FOLD:
+            for step in self.steps:
+                r = _stepped(r, posteriors, [F.lit(x) for x in step])
+            return r
+        taken = F.array(*[F.array(*[F.lit(x) for x in step]) for step in self.steps])
+        return F.aggregate(taken, r, lambda r, step: _stepped(r, posteriors, [step[i] for i in range(len(posteriors))]))
+
+
+#: Steps that are unrolled in one expression.
+_FOLD = 16
+
+
+def _stepped(r: Column, posteriors: list[Column], step: list[Column]) -> Column:
+    return F.greatest(r - sum((p * s for p, s in zip(posteriors[1:], step[1:], strict=True)), posteriors[0] * step[0]), F.lit(0.0))
 
-    def rate(self, posteriors: list[Column]) -> Column:
-        r = F.lit(self.start)
-        for step in self.steps:
-            r = F.greatest(r - sum((p * s for p, s in zip(posteriors[1:], step[1:], strict=True)), posteriors[0] * step[0]), F.lit(0.0))
-        return r
-
-
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """A small symmetric positive system."""
-    n = len(b)
-    m = [[*row, v] for row, v in zip(a, b, strict=True)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda k: abs(m[k][i]))
-        m[i], m[p] = m[p], m[i]
-        for k in range(i + 1, n):
-            f = m[k][i] / m[i][i]
-            m[k] = [x - f * y for x, y in zip(m[k], m[i], strict=True)]
-    x = [0.0] * n
-    for i in reversed(range(n)):
-        x[i] = (m[i][n] - sum(m[i][j] * x[j] for j in range(i + 1, n))) / m[i][i]
-    return x
-
-
-def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[float], factor: float = 1.0, steps: int = 30, tolerance: float = 1e-9) -> Rates:
+
+def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[float], factor: float = 1.0, steps: int = 400, tolerance: float = 1e-9) -> Rates:
     """Rates of ``rows`` whose expected token totals by domain match ``weights`` of ``factor`` times all tokens.
 
-    Projected gradient from equal rates; the gradient is scaled by the
-    inverse Gram matrix of the documents still at a positive rate, and a step
-    that doesn't lower the squared residual is halved. Targets out of reach
-    get the least-squares fit.
+    Projected gradient from equal rates. The gradient of a document's rate,
+    in units of its tokens, is its posteriors times the residual; rates move
+    against it and are cut off at zero. Step lengths are spectral (from the
+    last two gradients); a step that doesn't lower the largest of the last
+    residuals is halved, down to the length that always does. Targets out of
+    reach get the least-squares fit: the fit ends when the duality gap is
+    under ``tolerance`` times half the squared target, or after ``steps``
+    passes over the rows, and says which. Null tokens count 0, null
+    posteriors 0; no tokens give equal rates.
     """
     k = len(posteriors)
-    cols = [F.col(f"`{p}`") for p in posteriors]
-    tokens = float(rows.agg(F.sum(n)).first()[0] or 0)
-    goal = [w / sum(weights) * tokens * factor for w in weights]
+    names = [f"__p{i}" for i in range(k)]
+    cols = [F.col(p) for p in names]
+    given = rows.select(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("__n"), *[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).alias(q) for p, q in zip(posteriors, names, strict=True)]).where("__n > 0")
+    square = [F.sum(F.col("__n") * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
+    first = given.agg(F.sum("__n"), *[F.sum(F.col("__n") * p) for p in cols], *square).first()
+    tokens, whole = float(first[0] or 0), sum(weights)
+    goal = [w / whole * tokens * factor if whole > 0 else 0.0 for w in weights]
     if tokens <= 0:
         return Rates((), float(factor), (0.0,) * k, tuple(goal))
-
-    def state(s: tuple) -> tuple[list[float], list[list[float]]]:
-        r = Rates(s, float(factor), (), ()).rate(cols)
-        given = rows.select(F.col(n).cast("double").alias("n"), *cols, r.alias("r"))
-        on = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
-        got = given.agg(*[F.sum(F.col("r") * F.col("n") * p) for p in cols], *[F.sum(on * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]).first()
-        up = iter(got[k:])
-        gram = [[0.0] * k for _ in range(k)]
-        for i in range(k):
-            for j in range(i, k):
-                gram[i][j] = gram[j][i] = next(up)
-        return list(got[:k]), gram
-
+    totals = [factor * t for t in first[1 : k + 1]]
+    # The trace bounds the largest eigenvalue of the Gram matrix: a step of its inverse always lowers the residual.
+    up, trace = iter(first[k + 1 :]), 0.0
+    for i in range(k):
+        for j in range(i, k):
+            g = next(up)
+            trace += g if i == j else 0.0
+    least = 1 / max(trace, 1e-300)
     lost = lambda t: sum((a - b) ** 2 for a, b in zip(t, goal, strict=True))
-    taken: tuple = ()
-    totals, gram = state(taken)
-    scale = 1.0
+    bound = tolerance * max(sum(g * g for g in goal), 1e-300)
+
+    taken: list[tuple[float, ...]] = []
+    base, from_base, start = given, [], None
+
+    def tried(step: tuple[float, ...], residual: list[float]) -> tuple[list[float], float, float]:
+        """Totals after a step; the moved rates' squared norm in tokens; the least gradient of any document."""
+        before = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start)
+        at = base.select("*", before.alias("__r")).select("*", _stepped(F.col("__r"), cols, [F.lit(x) for x in step]).alias("__s"))
+        slope = sum((p * x for p, x in zip(cols[1:], residual[1:], strict=True)), cols[0] * residual[0])
+        move = F.col("__s") - F.col("__r")
+        got = at.agg(*[F.sum(F.col("__s") * F.col("__n") * p) for p in cols], F.sum(F.col("__n") * move * move), F.min(slope)).first()
+        return list(got[:k]), got[k], got[k + 1]
+
+    best, best_lost, gap = 0, lost(totals), math.inf
+    best_totals, recent = totals, [lost(totals)]
+    length = least
+    written_rates: DataFrame | None = None
     for _ in range(steps):
-        if math.sqrt(lost(totals)) <= tolerance * tokens:
-            break
-        ridge = 1e-9 * tokens
-        move = _solve([[g + (ridge if i == j else 0) for j, g in enumerate(row)] for i, row in enumerate(gram)], [t - g for t, g in zip(totals, goal, strict=True)])
-        tried = (*taken, tuple(scale * m for m in move))
-        after, matrix = state(tried)
-        if lost(after) < lost(totals):
-            gain = 1 - lost(after) / lost(totals)
-            taken, totals, gram, scale = tried, after, matrix, 1.0
-            if gain < 1e-6:
+        residual = [t - g for t, g in zip(totals, goal, strict=True)]
+        while True:
+            step = tuple(length * x for x in residual)
+            after, moved, low = tried(step, residual)
+            if lost(after) <= max(recent[-8:]) - 1e-4 * moved / length or length <= least:
                 break
-        else:
-            scale /= 2
-            if scale < 1e-3:
-                break
-    return Rates(taken, float(factor), tuple(totals), tuple(goal))
+            length = max(length / 4, least)
+        # Posteriors add up to 1, so raising the residual by its worst slope makes it feasible for the dual problem.
+        dual = [x + max(0.0, -low) for x in residual]
+        gap = sum(x * x for x in residual) / 2 + sum(x * x for x in dual) / 2 + sum(x * g for x, g in zip(dual, goal, strict=True))
+        if gap <= bound / 2:
+            best, best_totals = len(taken), totals
+            break
+        change = [b - a for a, b in zip(totals, after, strict=True)]
+        bend = sum(c * c for c in change)
+        taken.append(step)
+        from_base.append(step)
+        totals = after
+        recent.append(lost(totals))
+        if recent[-1] < best_lost:
+            best, best_lost, best_totals = len(taken), recent[-1], totals
+        if moved <= 0:
+            break
+        length = min(max(moved / bend if bend > 0 else least, least), least * 1e12)
+        if len(from_base) >= _FOLD:  # rates so far go to the shared folder, so that an expression stays short
+            start_rate = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start)
+            old, written_rates = written_rates, written(base.select("__n", *names, start_rate.alias("__start")), "rates")
+            forget(old)
+            base, start, from_base = written_rates, F.col("__start"), []
+    forget(written_rates)
+    return Rates(tuple(taken[:best]), float(factor), tuple(best_totals), tuple(goal), gap, gap <= bound / 2)
 
 
 def mix(
@@ -196,17 +246,25 @@ def mix(
 
     ``labelled`` has ids and domains; of several domains of an id the
     smallest counts, null ids and domains are left out, and ``weights`` names
-    the domains used. Null texts are empty and keep the starting rate's
-    posteriors; repeated rows get equal rates. Texts are measured once, in a
-    narrow table in the shared folder.
+    the domains used. A domain of ``weights`` without labelled documents has
+    posterior 0 everywhere, with a warning: its target can't be met, and the
+    others are fitted as they are. Where nothing is labelled (an empty table
+    of either kind) all domains are equally likely. Null texts are empty;
+    repeated rows get equal rates; an empty table gives an empty one. Other
+    columns, whatever their names, are ignored. Texts are measured once, in
+    a narrow table in the shared folder.
     """
-    given = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in categories], measures(F.col(text)).alias("m"))
-    kept = written(given.select("doc_id", *categories, "m.*"), "measures")
+    if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
+        raise ValueError("weights must be nonnegative, and one positive")
+    inner = [f"__c{i}" for i in range(len(categories))]
+    given = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).cast("string").alias(i) for c, i in zip(categories, inner, strict=True)], measures(F.col(text)).alias("m"))
+    kept = written(given.select("doc_id", *inner, "m.*"), "measures")
     known = labelled.where(F.col(doc_id).isNotNull() & F.col(domain).isin(*weights)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(domain).alias("__domain"))
-    model = classifier(kept.join(known, "doc_id"), "__domain", categories)
+    model = classifier(kept.join(known, "doc_id"), "__domain", tuple(inner), tuple(weights)).renamed(categories)
     names = [f"p_{d}" for d in model.domains]
-    soft = model.posteriors({m: F.col(m) for m in MEASURES}, {c: F.col(c) for c in categories})
+    soft = model.posteriors({m: F.col(m) for m in MEASURES}, {c: F.col(i) for c, i in zip(categories, inner, strict=True)})
     rows = written(kept.select("doc_id", "n_tokens", *[p.alias(n) for p, n in zip(soft, names, strict=True)]), "posteriors")
+    forget(kept)
     rates = fit_rates(rows, "n_tokens", names, [weights[d] for d in model.domains], factor)
     return rows.withColumn("rate", rates.rate([F.col(f"`{n}`") for n in names])), model, rates
 
