@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,25 +19,40 @@ def matches(text: Column, regex: str, parts: Column) -> Column:
 
 
 def located(parts: Column, found: Column) -> Column:
-    """``array<struct<start, end, text>>`` in code points, end exclusive."""
+    """``array<struct<start, end, text>>`` in code points, end exclusive.
+
+    A match begins after all pieces and matches before it: the running sums
+    are carried as two numbers through blocks of about the square root of
+    the matches, so that a text of n matches costs n * sqrt(n) at most.
+    """
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["0"]) + F.coalesce(F.length(p["1"]), F.lit(0))).alias("at"),
-        F.when(p["1"].isNull(), s["out"])
-        .otherwise(
-            F.array_append(
-                s["out"],
-                F.struct(
-                    (s["at"] + F.length(p["0"])).alias("start"),
-                    (s["at"] + F.length(p["0"]) + F.length(p["1"])).alias("end"),
-                    p["1"].alias("text"),
+    sizes = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+
+    def placed(s: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(s).cast("double"))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / width).cast("int")), lambda b: F.slice(s, b * width + 1, width))
+        total = lambda x: F.aggregate(x, F.lit(0), lambda t, m: t + m["gap"] + m["size"])
+        # Each block with the sum of the blocks before it, then each match with the sum within its block.
+        sums = F.transform(blocks, lambda b: F.struct(b.alias("b"), total(b).alias("n")))
+
+        def inside(x: Column, i: Column) -> Column:
+            base = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda t, y: t + y["n"])
+            return _once(
+                F.struct(base.alias("base"), x["b"].alias("b")),
+                lambda c: F.transform(
+                    c["b"],
+                    lambda m, j: _once(
+                        c["base"] + total(F.slice(c["b"], F.lit(1), j)) + m["gap"],
+                        lambda at: F.struct(at.alias("start"), (at + m["size"]).alias("end"), m["text"].alias("text")),
+                    ),
                 ),
             )
-        )
-        .alias("out"),
-    )
-    pairs = F.zip_with(parts, found, lambda p, m: F.struct(p.alias("0"), m.alias("1")))
-    return F.when(
-        F.size(parts) > 1,
-        F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"]),
-    ).otherwise(none)
+
+        return F.flatten(F.transform(sums, inside))
+
+    return F.when(F.size(found) > 0, _once(sizes, placed)).otherwise(none)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), then)[0]
