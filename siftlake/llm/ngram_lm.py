@@ -1,155 +1,347 @@
 """Interpolated modified Kneser-Ney language model over hashed n-grams.
 
-Counting runs in Spark from the highest order down. Map tasks reduce their
-texts to sorted distinct n-grams (64-bit word hashes) with counts, cut into
-blobs by ranges of the n-gram's hash; one reduce group a range merges them
-and writes a sorted hash array with its counts to the shared folder, the
-statistics of its contexts and, as the next order's n-grams, its suffixes
-with their numbers of distinct left extensions. Ranges of a hash are
-uniform, so no frequent word makes a large group. Scoring maps the arrays
-into memory and looks the sorted distinct n-grams of a piece of text up.
+Counting runs in Spark, words first: every distinct word gets a number, the
+frequent ones small numbers, kept with its count in sorted arrays of word
+hashes. Then n-grams of word numbers are counted from the highest order
+down. Map tasks reduce their texts to sorted distinct n-grams with counts,
+cut into compressed blobs by partition; one reduce group a partition merges
+them and writes a sorted hash array with its counts to the shared folder,
+the statistics of its contexts and, as the next order's n-grams, its
+suffixes with their numbers of distinct left extensions.
+
+N-grams go by the words that all their contexts and suffixes share, so that
+both are summed in one place. Words of more than a quarter of a partition
+are hot: n-grams that share only hot words go by their context, and where
+that is hot as well by the whole n-gram, whose contexts are summed in a
+small shuffle. So no frequent word or context makes a large group.
+
+An array's key is the first bits of a 64-bit hash, as the place of a bucket
+of about eight keys, and the next 32: one look-up in 5 * 10^8 finds the
+count of another n-gram. Scoring maps the arrays into memory.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import tokens
-from siftlake.llm.common import forget, mounted, residue, shared_path, written
+from siftlake.llm.common import forget, mounted, release, residue, shared_path, written
 
-_BEGIN, _END = np.uint64(1), np.uint64(2)
+_END = np.uint64(2)
+#: Number of the begin token, which is hot; of words that training doesn't have.
+_BEGIN, _NONE = np.uint64(1), np.uint64((1 << 40) - 2)
+#: Tokens that a task holds before it counts them, and that make a partition.
 _FLUSH = 2_500_000
+#: Words that get small numbers.
+_TOP = 1 << 16
 
 
-def _fold(words: list[np.ndarray]) -> np.ndarray:
-    """The hash of n-grams given by columns of word hashes; of a single word the word's hash."""
-    key = words[0]
-    for w in words[1:]:
+def _fold(columns: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of rows given by columns."""
+    key = np.full(len(columns[0]) if columns else 1, 0x9E3779B97F4A7C15 * (2 * salt + 1) & (2**64 - 1), np.uint64)
+    for w in columns:
         z = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w
         z = (z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         key = z ^ (z >> np.uint64(30))
-    return key
+    z = key * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
 
 
 def _range(key: np.ndarray, parts: int) -> np.ndarray:
     """The hash range that a key is in, non-decreasing in the key."""
-    return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-
-
-def _sums(key: np.ndarray, columns: list[np.ndarray], keep: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted distinct keys, the sums of ``columns`` and one value of each of ``keep``."""
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], [np.add.reduceat(c[order], first) if len(first) else c[:0] for c in columns], [k[order[first]] for k in keep]
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _firsts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct rows of ``columns`` and the sums of ``values`` over each, in 64 bits."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = _firsts(columns)
+    return [c[first] for c in columns], [np.add.reduceat(v[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in values]
+
+
+def _squeeze(columns: list[np.ndarray]) -> bytes:
+    """Columns of nonnegative integers as compressed planes of bytes, the first one by its differences: small where it is sorted."""
+    n = len(columns[0])
+    kept, planes = [], []
+    for i, c in enumerate(columns):
+        c = np.ascontiguousarray(c, "<u8")
+        if i == 0 and n:
+            c = np.diff(c, prepend=np.zeros(1, np.uint64))
+        most = int(c.max()) if n else 0
+        kept.append(max(1, (most.bit_length() + 7) // 8))
+        planes.append(c.view(np.uint8).reshape(n, 8).T[: kept[-1]].tobytes())
+    return np.array([n, *kept], "<u4").tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def _unsqueeze(blobs: list[bytes], columns: int) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in range(columns)]
+    for b in blobs:
+        n, *kept = np.frombuffer(b, "<u4", columns + 1).tolist()
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4 * columns + 4 :], max_output_size=max(1, n * sum(kept))), np.uint8)
+        at = 0
+        for i, k in enumerate(kept):
+            c = np.zeros((n, 8), np.uint8)
+            c[:, :k] = raw[at : at + n * k].reshape(k, n).T
+            at += n * k
+            c = c.view("<u8").ravel()
+            out[i].append(np.cumsum(c, dtype=np.uint64) if i == 0 else c)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def _coded(values: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of counts as one byte each: the most frequent rows by number, 255 for others, which are listed by place."""
+    n = len(values[0])
+    if not n:
+        return {"code": np.zeros(0, np.uint8), "rows": np.zeros((0, len(values)), "<u8"), "place": np.zeros(0, "<u8"), "other": np.zeros((0, len(values)), "<u8")}
+    order = np.lexsort(values[::-1])
+    ordered = [v[order] for v in values]
+    first = _firsts(ordered)
+    often = np.diff(np.append(first, n))
+    rank = np.argsort(-often, kind="stable")
+    code_of = np.full(len(first), 255, np.uint8)
+    code_of[rank[:255]] = np.arange(min(255, len(rank)))
+    code = np.empty(n, np.uint8)
+    code[order] = np.repeat(code_of, often)
+    place = np.flatnonzero(code == 255)
+    table = np.stack([v[first] for v in ordered], axis=1)
+    return {"code": code, "rows": table[rank[:255]].astype("<u8"), "place": place.astype("<u8"), "other": np.stack([v[place] for v in values], axis=1).astype("<u8")}
+
+
+def _decoded(t: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The rows of counts at some places."""
+    code = t["code"][at]
+    out = np.zeros((len(at), t["rows"].shape[1]), np.int64)
+    known = code < 255
+    out[known] = t["rows"][code[known]]
+    rest = np.flatnonzero(~known)
+    if len(rest):
+        out[rest] = t["other"][np.searchsorted(t["place"], at[rest].astype(np.uint64))]
+    return out
+
+
+def _bits(n: int) -> int:
+    return max(1, min(30, math.ceil(math.log2(max(2, n / 8)))))
 
 
-def _unpack(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
-    size = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for b in blobs:
-        n, at = len(b) // size, 0
-        for i, k in enumerate(kinds):
-            out[i].append(np.frombuffer(b, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
+def _save(path: str, **arrays: np.ndarray) -> None:
+    """Arrays in one file, under its final name when whole: a task that runs again writes the same file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    head, at = {}, 0
+    for name, a in arrays.items():
+        head[name] = (a.dtype.str, a.shape, at)
+        at += (a.nbytes + 7) // 8 * 8
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 8)
+    temporary = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
+    with open(temporary, "wb") as f:
+        f.write(len(text).to_bytes(8, "little") + text)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
+    os.replace(temporary, path)
 
 
-def _sequence(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns of each text's n-grams, an end token closing it and begin tokens before it; each text's token count."""
+@lru_cache(maxsize=100_000)
+def _mapped(path: str) -> dict[str, np.ndarray] | None:
+    if not os.path.exists(path):
+        return None
+    raw = np.memmap(path, np.uint8, "r")
+    size = int(raw[:8].view("<u8")[0])
+    out = {}
+    for name, (kind, shape, at) in json.loads(raw[8 : 8 + size].tobytes()).items():
+        begin = 8 + size + at
+        out[name] = raw[begin : begin + math.prod(shape) * np.dtype(kind).itemsize].view(kind).reshape(shape)
+    return out
+
+
+def _save_table(path: str, key: np.ndarray, values: list[np.ndarray]) -> None:
+    """A sorted hash array: buckets by the first bits of the key, then 32 bits of each key, and coded values."""
+    order = np.argsort(key)
+    key = key[order]
+    bits = _bits(len(key))
+    start = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
+    _save(path, start=start, key=(key >> np.uint64(32 - bits)).astype("<u4"), **_coded([v[order] for v in values]))
+
+
+def _find(path: str, key: np.ndarray, width: int) -> np.ndarray:
+    """Values of keys in a saved table, zeros where a key is absent."""
+    t = _mapped(path)
+    if t is None or not len(t["key"]):
+        return np.zeros((len(key), width), np.int64)
+    bits = (len(t["start"]) - 1).bit_length() - 1
+    bucket = key >> np.uint64(64 - bits)
+    lo, end = t["start"][bucket].astype(np.int64), t["start"][bucket + np.uint64(1)].astype(np.int64)
+    hi, want = end.copy(), (key >> np.uint64(32 - bits)).astype("<u4")
+    while len(open_ := np.flatnonzero(lo < hi)):
+        mid = (lo[open_] + hi[open_]) // 2
+        below = t["key"][mid] < want[open_]
+        lo[open_[below]] = mid[below] + 1
+        hi[open_[~below]] = mid[~below]
+    hit = np.flatnonzero(lo < end)
+    hit = hit[t["key"][lo[hit]] == want[hit]]
+    out = np.zeros((len(key), width), np.int64)
+    out[hit] = _decoded(t, lo[hit])
+    return out
+
+
+def _hot(number: np.ndarray) -> np.ndarray:
+    return (number & np.uint64(1)).astype(bool)
+
+
+def _places(columns: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram's partition, and whether it goes by all its words, apart from others of its context."""
+    n = len(columns[0])
+    key = np.zeros(n, np.uint64)
+    whole = np.ones(n, bool)
+    if len(columns) >= 3:
+        by_shared = ~np.all([_hot(c) for c in columns[1:-1]], axis=0)
+        key[by_shared] = _fold([c[by_shared] for c in columns[1:-1]], 1)
+        whole &= ~by_shared
+    if len(columns) >= 2:
+        by_context = whole & ~_hot(columns[0])
+        key[by_context] = _fold([c[by_context] for c in columns[:-1]], 2)
+        whole &= ~by_context
+    key[whole] = _fold([c[whole] for c in columns], 3)
+    return _range(key, parts), whole
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, an end token closing each, and each text's token count."""
     w = tokens.words(raw, offsets)
     h = tokens.word_hashes(w)
-    h = np.where(h <= _END, h + np.uint64(3), h)
     count = w.count + 1
-    stride = count + order - 1
-    begin = np.cumsum(stride) - stride
-    seq = np.full(int(stride.sum()), _BEGIN, np.uint64)
-    text = np.repeat(np.arange(len(w)), w.count)
-    seq[begin[text] + order - 1 + np.arange(len(h)) - w.first[text]] = h
-    seq[begin + stride - 1] = _END
-    owner = np.repeat(np.arange(len(w)), count)
-    at = begin[owner] + order - 1 + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-    return [seq[at - k] for k in range(order - 1, -1, -1)], count
+    ends = np.cumsum(count) - 1
+    out = np.full(int(count.sum()), _END, np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = np.where(h <= _END, h + np.uint64(3), h)
+    return out, count
 
 
-def _save(path: str, **arrays: np.ndarray) -> None:
-    """Whole arrays under their final names only: a task that runs again writes the same files."""
-    os.makedirs(path, exist_ok=True)
-    for name, a in arrays.items():
-        temporary = f"{path}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-        with open(temporary, "wb") as f:
-            np.save(f, a)
-        os.replace(temporary, f"{path}/{name}.npy")
-
-
-@lru_cache(maxsize=100_000)
-def _mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _windows(number: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
+    """Columns of the n-grams that end at each token, begin tokens before a text."""
+    ends = np.cumsum(count)
+    since = np.arange(len(number)) - np.repeat(ends - count, count)
+    return [number if k == 0 else np.where(since >= k, np.concatenate([np.full(min(k, len(number)), _BEGIN, np.uint64), number[:-k]]), _BEGIN) for k in range(order - 1, -1, -1)]
 
 
 @dataclass
 class Model:
-    """Folder, order and ranges of the arrays; discounts and totals."""
+    """Folder, order and partitions of the arrays; first numbers of the words of each range; discounts and totals."""
 
     path: str
     order: int
-    parts: int
+    ranges: int
+    parts: int = 1
+    bases: list[int] = field(default_factory=list)
     tokens: int = 0
     types: int = 0
     discounts: list[list[float]] = field(default_factory=list)
     unigrams: list[int] = field(default_factory=list)
 
-    def look_up(self, kind: str, key: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of sorted distinct keys, zero where a key is absent."""
-        out = [np.zeros(len(key), np.float64) for _ in names]
-        bounds = np.searchsorted(_range(key, self.parts), np.arange(self.parts + 1, dtype=np.uint64))
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and training counts of sorted distinct word hashes."""
+        number, count = np.full(len(hashes), _NONE, np.uint64), np.zeros(len(hashes), np.int64)
+        bounds = np.searchsorted(_range(hashes, self.ranges), np.arange(self.ranges + 1))
         for p in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            lo, hi = bounds[p], bounds[p + 1]
-            keys = _mapped(f"{self.path}/{kind}/{p}/key.npy")
-            if keys is None or not len(keys):
+            t = _mapped(f"{self.path}/words/{p}")
+            if t is None or not len(t["key"]):
                 continue
-            at = np.minimum(np.searchsorted(keys, key[lo:hi]), len(keys) - 1)
-            hit = keys[at] == key[lo:hi]
-            for o, name in zip(out, names, strict=True):
-                o[lo:hi][hit] = _mapped(f"{self.path}/{kind}/{p}/{name}.npy")[at[hit]]
+            own = hashes[bounds[p] : bounds[p + 1]]
+            at = np.minimum(np.searchsorted(t["key"], own), len(t["key"]) - 1)
+            hit = np.flatnonzero(t["key"][at] == own)
+            count[bounds[p] + hit] = _decoded(t, at[hit])[:, 0]
+            number[bounds[p] + hit] = np.uint64(2 + _TOP + self.bases[p]) + at[hit].astype(np.uint64)
+        top = _mapped(f"{self.path}/top")
+        if top is not None and len(top["key"]):
+            at = np.minimum(np.searchsorted(top["key"], hashes), len(top["key"]) - 1)
+            hit = top["key"][at] == hashes
+            number[hit] = 1 + top["rank"][at[hit]]
+        known = count > 0
+        hot = count * 4 * self.parts > self.tokens
+        number[known] = number[known] << np.uint64(1) | hot[known].astype(np.uint64)
+        return number, count
+
+    def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distinct, back = np.unique(hashes, return_inverse=True)
+        number, count = self.words(distinct)
+        return number[back], count[back]
+
+    def look_up(self, kind: str, part: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+        """Rows of counts of keys, each in the table of its partition."""
+        out = np.zeros((len(key), width), np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            own = order[lo:hi]
+            out[own] = _find(f"{self.path}/{kind}/{part[own[0]]}", key[own], width)
         return out
 
-    def values(self, kind: str, key: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        distinct, back = np.unique(key, return_inverse=True)
-        return [x[back] for x in self.look_up(kind, distinct, names)]
-
     def _discount(self, count: np.ndarray, level: int) -> np.ndarray:
-        return np.array([0.0, *self.discounts[level - 1]])[np.minimum(count, 3).astype(np.int64)]
-
-    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each n-gram's last word after the words before, and the word's training count."""
-        count, raw = self.values("grams-1", columns[-1], ("count", "raw"))
+        return np.array([0.0, *self.discounts[level - 1]])[np.minimum(count, 3)]
+
+    def probabilities(self, number: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Probability of each token after the tokens before it in its text; ``count`` tokens a text."""
+        columns = _windows(number, count, self.order)
+        # Each different n-gram is looked up once.
+        order = np.lexsort(columns[::-1])
+        first = _firsts([c[order] for c in columns])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        columns = [c[order[first]] for c in columns]
         total, n1, n2, n3 = self.unigrams or [0, 0, 0, 0]
         d = self.discounts[0]
+        seen = self._counts(columns[-1:])
         if total:
-            p = np.maximum(count - self._discount(count, 1), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total / (self.types + 1)
+            p = np.maximum(seen - self._discount(seen, 1), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total / (self.types + 1)
         else:
-            p = np.full(len(count), 1 / (self.types + 1))
+            p = np.full(len(first), 1 / (self.types + 1))
         for level in range(2, self.order + 1):
-            (count,) = self.values(f"grams-{level}", _fold(columns[-level:]), ("count",))
-            total, n1, n2, n3 = self.values(f"contexts-{level}", _fold(columns[-level:-1]), ("total", "n1", "n2", "n3"))
+            own = columns[-level:]
+            known = self._counts(own[:-1]) > 0
+            total, n1, n2, n3 = self._contexts(own[:-1], known)
+            seen = self._counts(own)
             d, some = self.discounts[level - 1], total > 0
             total = np.where(some, total, 1)
-            p = np.where(some, np.maximum(count - self._discount(count, level), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total * p, p)
-        return p, raw
+            p = np.where(some, np.maximum(seen - self._discount(seen, level), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total * p, p)
+        return p[back]
+
+    def _counts(self, columns: list[np.ndarray]) -> np.ndarray:
+        return self.look_up(f"grams-{len(columns)}", _places(columns, self.parts)[0], _fold(columns), 1)[:, 0]
+
+    def _contexts(self, context: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+        """Total, n1, n2, n3 of contexts. Only those that aren't followed by a single n-gram seen once are stored."""
+        part, whole = _places([*context, context[0]], self.parts)
+        # By all words: the context's own place.
+        part = np.where(whole, _range(_fold(context, 4), self.parts), part)
+        level, key = len(context) + 1, _fold(context)
+        out = np.zeros((len(key), 4), np.int64)
+        for kind, which in (("contexts", ~whole), ("hot-contexts", whole)):
+            at = np.flatnonzero(which)
+            out[at] = self.look_up(f"{kind}-{level}", part[at], key[at], 4)
+        out[known & (out[:, 0] == 0)] = (1, 1, 0, 0)
+        return out.T
 
 
 def _discounts(n: np.ndarray) -> list[float]:
@@ -160,18 +352,29 @@ def _discounts(n: np.ndarray) -> list[float]:
     return [float(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k)) for k in (1, 2, 3)]
 
 
-def train(texts: DataFrame, order: int = 2, text: str = "text", parts: int | None = None) -> Model:
-    """Count ``texts`` and write the model to the shared folder, which must be mounted on every machine.
+_SHAPE = "kind string, part int, blob binary"
 
-    ``parts`` hash ranges (by default the session's shuffle partitions)
-    bound what one task holds. Null and blank texts count one end token
-    each. An empty table gives the uniform model.
-    """
-    if order < 1:
-        raise ValueError("order must be 1 or more")
-    spark = texts.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = mounted(shared_path(spark, "lm"))
+
+def _rows(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A blob for each partition; the rows of ``columns`` are sorted within it."""
+    order = np.lexsort([*columns[::-1], part])
+    part, columns = part[order], [c[order] for c in columns]
+    bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    blobs = [_squeeze([c[a:b] for c in columns]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.string()), pa.array(part[bounds[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
+
+
+def _said(part: int, **what: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(["stats"]), pa.array([part], pa.int32()), pa.array([json.dumps(what).encode()], pa.binary())], ["kind", "part", "blob"])
+
+
+def _heard(rows: DataFrame) -> list[dict]:
+    """What the groups said: some numbers from each partition."""
+    return [{"part": r[0], **json.loads(bytes(r[1]))} for r in rows.where("kind = 'stats'").select("part", "blob").collect()]
+
+
+def _counting(number_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], place: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
+    """Map side of a count: rows of columns from token hashes, summed before they leave."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -179,74 +382,118 @@ def train(texts: DataFrame, order: int = 2, text: str = "text", parts: int | Non
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            key, (n,), columns = _sums(_fold(columns), [np.ones(len(columns[0]), np.uint32)], columns)
-            return blobs("next", key, [*columns, n.astype(np.uint32)])
+            columns, (n,) = _sums(columns, [np.ones(len(columns[0]), np.int64)])
+            return _rows("gram", place(columns), [*columns, n])
 
         for b in batches:
             for _, _, raw, offsets in tokens.chunks(b.column(0)):
-                held.append(_sequence(raw, offsets, order)[0])
+                held.append(number_of(*_words(raw, offsets)))
                 if sum(len(h[0]) for h in held) >= _FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    def blobs(kind: str, key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-        """A row a hash range; columns of sorted keys. In a range n-grams go by first word, which the shuffle compresses."""
-        bounds = np.searchsorted(_range(key, parts), np.arange(parts + 1, dtype=np.uint64))
-        at = np.flatnonzero(bounds[1:] > bounds[:-1])
-        rows = []
-        for p in at:
-            part = [c[bounds[p] : bounds[p + 1]] for c in columns]
-            by = np.argsort(part[0], kind="stable")
-            rows.append(_pack(*[c[by] for c in part]))
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(rows, pa.binary())], ["kind", "part", "blob"])
-
-    def merge(level: int, top: bool):
-        def run(table: pa.Table) -> pa.Table:
-            part = table.column("part")[0].as_py()
-            kinds = ["<u8"] * level + (["<u4"] if top else ["<u4", "<u4"])
-            columns = _unpack(table.column("blob").to_pylist(), kinds)
-            words, count = columns[:level], columns[level].astype(np.int64)
-            raw = count if top else columns[level + 1].astype(np.int64)
-            key, (count, raw), words = _sums(_fold(words), [count, raw], words)
-            small = np.minimum(count, 5)
-            stats = {"n": np.bincount(small, minlength=6)[1:5].tolist(), "n3": int((count >= 3).sum()), "total": int(count.sum()), "raw": int(raw.sum()), "types": len(key)}
-            _save(f"{path}/grams-{level}/{part}", key=key, count=count.astype(np.uint32), **({"raw": raw.astype(np.uint64)} if level == 1 else {}))
-            out = [pa.RecordBatch.from_arrays([pa.array(["stats"]), pa.array([part], pa.int32()), pa.array([json.dumps(stats).encode()], pa.binary())], ["kind", "part", "blob"])]
-            if level > 1:
-                ones = [(count == 1), (count == 2), (count >= 3)]
-                k, sums, _ = _sums(_fold(words[:-1]), [count, *[x.astype(np.int64) for x in ones]], [])
-                out.append(blobs("context", k, [k, *[x.astype(np.uint32) for x in sums]]))
-                k, (n, r), w = _sums(_fold(words[1:]), [np.ones(len(key), np.int64), raw], words[1:])
-                out.append(blobs("next", k, [*w, n.astype(np.uint32), r.astype(np.uint32)]))
-            return pa.Table.from_batches(out)
-
-        return run
-
-    def contexts(level: int):
-        def run(table: pa.Table) -> pa.Table:
-            part = table.column("part")[0].as_py()
-            key, *sums = _unpack(table.column("blob").to_pylist(), ["<u8"] + ["<u4"] * 4)
-            key, sums, _ = _sums(key, [x.astype(np.int64) for x in sums], [])
-            _save(f"{path}/contexts-{level}/{part}", key=key, **{n: x.astype(np.uint32) for n, x in zip(("total", "n1", "n2", "n3"), sums, strict=True)})
-            return pa.table({"part": pa.array([part], pa.int32())})
-
-        return run
-
-    shape = "kind string, part int, blob binary"
-    model = Model(path, order, parts, discounts=[[0.5, 1.0, 1.5]] * order)
-    rows: DataFrame = texts.select(F.col(text).alias("text")).mapInArrow(count, shape)
+    return count
+
+
+def _merge_words(path: str, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        (key,), (count,) = _sums(*[[c] for c in _unsqueeze(table.column("blob").to_pylist(), 2)])
+        _save(f"{path}/words/{part}", key=key, **_coded([count]))
+        most = np.argsort(-count, kind="stable")[: max(1, _TOP // ranges)]
+        top = {"hash": [int(k) for k in key[most]], "count": [int(c) for c in count[most]]}
+        return pa.Table.from_batches([_said(part, tokens=int(count.sum()), types=len(key), top=top)])
+
+    return run
+
+
+def _merge_grams(path: str, level: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        *columns, n = _unsqueeze(table.column("blob").to_pylist(), level + 1)
+        columns, (count,) = _sums(columns, [n])
+        _save_table(f"{path}/grams-{level}/{part}", _fold(columns), [count])
+        small = np.minimum(count, 5)
+        out = [_said(part, n=np.bincount(small, minlength=6)[1:5].tolist(), n3=int((count >= 3).sum()), total=int(count.sum()))]
+        if level > 1:
+            context = columns[:-1]
+            first = _firsts(context)
+            stats = [np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)]
+            context = [c[first] for c in context]
+            whole = _places([*context, context[0]], parts)[1]
+            _save_contexts(f"{path}/contexts-{level}/{part}", [c[~whole] for c in context], [x[~whole] for x in stats])
+            if whole.any():
+                context = [c[whole] for c in context]
+                out.append(_rows("context", _range(_fold(context, 4), parts), [*context, *[x[whole] for x in stats]]))
+            rest, (n,) = _sums(columns[1:], [np.ones(len(count), np.int64)])
+            out.append(_rows("gram", _places(rest, parts)[0], [*rest, n]))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _save_contexts(path: str, context: list[np.ndarray], stats: list[np.ndarray]) -> None:
+    """Without contexts of one n-gram seen once, which show by being n-grams of the order below; begin tokens never do."""
+    keep = (stats[0] != 1) | (context[-1] == _BEGIN)
+    _save_table(path, _fold([c[keep] for c in context]), [x[keep] for x in stats])
+
+
+def _merge_contexts(path: str, level: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        columns = _unsqueeze(table.column("blob").to_pylist(), level + 3)
+        context, stats = _sums(columns[: level - 1], columns[level - 1 :])
+        _save_contexts(f"{path}/hot-contexts-{level}/{part}", context, stats)
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    return run
+
+
+def train(texts: DataFrame, order: int = 3, text: str = "text", parts: int | None = None, flush: int = _FLUSH) -> Model:
+    """Count ``texts`` and write the model to the shared folder, which must be mounted on every machine.
+
+    ``parts`` partitions (by default the session's shuffle partitions, more
+    where ``flush`` tokens a partition ask for it) bound what one task
+    holds. Counts have 64 bits. Null and blank texts count one end token
+    each; repeated rows count as often. An empty table gives the uniform
+    model.
+    """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
+    spark = texts.sparkSession
+    ranges = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = mounted(shared_path(spark, "lm"))
+    model = Model(path, order, ranges, discounts=[[0.5, 1.0, 1.5]] * order)
+    given = texts.select(F.col(text).alias("text"))
+    words = given.mapInArrow(_counting(lambda h, n: [h], lambda c: _range(c[0], ranges)), _SHAPE).groupBy("part").applyInArrow(_merge_words(path, ranges), _SHAPE)
+    stats = sorted(_heard(words), key=lambda s: s["part"])
+    model.tokens, model.types = sum(s["tokens"] for s in stats), sum(s["types"] for s in stats)
+    types = {s["part"]: s["types"] for s in stats}
+    model.bases = [sum(types.get(q, 0) for q in range(p)) for p in range(ranges)]
+    model.parts = parts or max(ranges, math.ceil(model.tokens / flush))
+    top = sorted((-c, h) for s in stats for c, h in zip(s["top"]["count"], s["top"]["hash"], strict=True))[:_TOP]
+    by_hash = sorted((h, rank) for rank, (_, h) in enumerate(top))
+    _save(f"{path}/top", key=np.array([h for h, _ in by_hash], "<u8"), rank=np.array([r for _, r in by_hash], "<u8"))
+    del words
+    release(spark)
+
+    def windows(h: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        return _windows(model.numbered(h)[0], count, order)
+
+    rows: DataFrame = given.mapInArrow(_counting(windows, lambda c: _places(c, model.parts)[0]), _SHAPE)
     before = None
     for level in range(order, 0, -1):
-        after = written(rows.where("kind = 'next'").groupBy("part").applyInArrow(merge(level, level == order), shape), f"lm-{level}")
+        after = written(rows.where("kind = 'gram'").groupBy("part").applyInArrow(_merge_grams(path, level, model.parts), _SHAPE), f"lm-{level}")
+        del rows
         forget(before)
-        stats = [json.loads(bytes(r[0])) for r in after.where("kind = 'stats'").select("blob").collect()]
+        release(spark)
+        stats = _heard(after)
         n = np.sum([s["n"] for s in stats], axis=0) if stats else np.zeros(4)
         model.discounts[level - 1] = _discounts(np.asarray(n))
         if level > 1:
-            after.where("kind = 'context'").groupBy("part").applyInArrow(contexts(level), "part int").count()
+            after.where("kind = 'context'").groupBy("part").applyInArrow(_merge_contexts(path, level), "part int").count()
         elif stats:
-            model.tokens, model.types = sum(s["raw"] for s in stats), sum(s["types"] for s in stats)
             model.unigrams = [sum(s["total"] for s in stats), int(n[0]), int(n[1]), sum(s["n3"] for s in stats)]
         rows = before = after
     forget(before)
@@ -257,7 +504,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """``doc_id, n_tokens, n_known, base_score, score`` of every document; log10 probabilities of the whole text.
 
     Null texts are empty: one end token. ``base_score`` is the add-0.1
-    unigram score over the same training tokens.
+    unigram score over the same training tokens. Rows are scored each by
+    itself: repeated ones stay, null ids are kept, an empty table gives an
+    empty one; other columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -265,9 +514,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for b in batches:
             n_tokens = np.zeros(b.num_rows, np.int64)
             n_known, base, full = n_tokens.copy(), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for lo, hi, raw, offsets in tokens.chunks(b.column(1), 1 << 20):
-                columns, count = _sequence(raw, offsets, model.order)
-                p, seen = model.probabilities(columns)
+            for lo, hi, raw, offsets in tokens.chunks(b.column(1), 2 << 20):
+                h, count = _words(raw, offsets)
+                number, seen = model.numbered(h)
+                p = model.probabilities(number, count)
                 first = np.cumsum(count) - count
                 n_tokens[lo:hi] = count
                 n_known[lo:hi] = np.add.reduceat((seen > 0).astype(np.int64), first)
@@ -287,7 +537,7 @@ def perplexity(score: str = "score", n_tokens: str = "n_tokens"):
     return F.pow(F.lit(10.0), -F.col(score) / F.col(n_tokens))
 
 
-def held_out_scores(docs: DataFrame, order: int = 2, folds: int = 10) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = 3, folds: int = 10) -> DataFrame:
     """Train on the documents of all folds but 0 and score every document."""
     rest = residue(F.col("doc_id"), folds)
     model = train(docs.where(rest != 0), order)
