@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -136,11 +137,11 @@ class Rates:
     gap: float = 0.0
     converged: bool = True
 
-    def rate(self, posteriors: list[Column], start: Column | None = None) -> Column:
+    def rate(self, posteriors: list[Column], start: Column | None = None, zero: Column | None = None) -> Column:
         r = F.lit(self.start) if start is None else start
         if len(self.steps) <= _FOLD:
             for step in self.steps:
-                r = _stepped(r, posteriors, [F.lit(x) for x in step])
+                r = _stepped(r, posteriors, _numbers(step, zero))
             return r
         taken = F.array(*[F.array(*[F.lit(x) for x in step]) for step in self.steps])
         return F.aggregate(taken, r, lambda r, step: _stepped(r, posteriors, [step[i] for i in range(len(posteriors))]))
@@ -150,6 +151,14 @@ class Rates:
 _FOLD = 16
 
 
+def _numbers(values: Sequence[float], zero: Column | None) -> list[Column]:
+    """Numbers as literals; with a column of zeros as items of an array, which generated code takes from outside: other numbers then need no other code."""
+    if zero is None:
+        return [F.lit(x) for x in values]
+    held = F.array(*[F.lit(float(x)) for x in values])
+    return [F.get(held, zero + i) for i in range(len(values))]
+
+
 def _stepped(r: Column, posteriors: list[Column], step: list[Column]) -> Column:
     return F.greatest(r - sum((p * s for p, s in zip(posteriors[1:], step[1:], strict=True)), posteriors[0] * step[0]), F.lit(0.0))
 
@@ -170,7 +179,9 @@ def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[floa
     k = len(posteriors)
     names = [f"__p{i}" for i in range(k)]
     cols = [F.col(p) for p in names]
-    given = rows.select(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("__n"), *[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).alias(q) for p, q in zip(posteriors, names, strict=True)]).where("__n > 0")
+    given = rows.select(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("__n"), *[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).alias(q) for p, q in zip(posteriors, names, strict=True)])
+    given = given.where("__n > 0").withColumn("__zero", F.when(F.col("__n") > 0, 0).otherwise(1))
+    zero = F.col("__zero")
     square = [F.sum(F.col("__n") * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
     first = given.agg(F.sum("__n"), *[F.sum(F.col("__n") * p) for p in cols], *square).first()
     tokens, whole = float(first[0] or 0), sum(weights)
@@ -193,9 +204,10 @@ def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[floa
 
     def tried(step: tuple[float, ...], residual: list[float]) -> tuple[list[float], float, float]:
         """Totals after a step; the moved rates' squared norm in tokens; the least gradient of any document."""
-        before = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start)
-        at = base.select("*", before.alias("__r")).select("*", _stepped(F.col("__r"), cols, [F.lit(x) for x in step]).alias("__s"))
-        slope = sum((p * x for p, x in zip(cols[1:], residual[1:], strict=True)), cols[0] * residual[0])
+        before = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start, zero)
+        at = base.select("*", before.alias("__r")).select("*", _stepped(F.col("__r"), cols, _numbers(step, zero)).alias("__s"))
+        held = _numbers(residual, zero)
+        slope = sum((p * x for p, x in zip(cols[1:], held[1:], strict=True)), cols[0] * held[0])
         move = F.col("__s") - F.col("__r")
         got = at.agg(*[F.sum(F.col("__s") * F.col("__n") * p) for p in cols], F.sum(F.col("__n") * move * move), F.min(slope)).first()
         return list(got[:k]), got[k], got[k + 1]
@@ -230,8 +242,8 @@ def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[floa
             break
         length = min(max(moved / bend if bend > 0 else least, least), least * 1e12)
         if len(from_base) >= _FOLD:  # rates so far go to the shared folder, so that an expression stays short
-            start_rate = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start)
-            old, written_rates = written_rates, written(base.select("__n", *names, start_rate.alias("__start")), "rates")
+            start_rate = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start, zero)
+            old, written_rates = written_rates, written(base.select("__n", "__zero", *names, start_rate.alias("__start")), "rates")
             forget(old)
             base, start, from_base = written_rates, F.col("__start"), []
     forget(written_rates)
