@@ -2,11 +2,13 @@
 
 A fingerprint's variants are all values within half the radius. Two
 fingerprints within the radius share at least one variant, so grouping by
-variant finds every pair. Variants are not shuffled one by one: a few of
-their bits form the routing key, each fingerprint is sent once to every key
-that one of its variants carries (with the flips still allowed there), and
-the receiving task makes the rest of the variants, sorts them and links
-equal ones. Exact copies collapse to one fingerprint before.
+variant finds every pair. Variants are not shuffled one by one (64 bits and
+radius 4: 2,081 a fingerprint): a few of their bits form the routing key,
+each fingerprint is sent once to every key that one of its variants carries
+(with the flips still allowed there), and the receiving task makes the rest
+of the variants, sorts them and links equal ones. Keys that too many rows
+share are split by further bits before the shuffle. Exact copies collapse to
+one fingerprint before.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm import tokens
-from siftlake.llm.common import forget, written
+from siftlake.llm.common import forget, release, written
 from siftlake.llm.components import components
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -80,20 +82,41 @@ class Ball:
         """Bit positions in the fixed order in which they route."""
         return [int(p) for p in np.random.default_rng(12345).permutation(self.bits)]
 
-    def route_bits(self, items: int, home: int = 2000) -> int:
+    def route_bits(self, items: int, home: int = 16_000) -> int:
         """How many bits route, so that about ``home`` of the items are at home under one key."""
         return min(self.bits // 2, 24, max(4, math.ceil(math.log2(max(1, items) / home))))
 
-    def routes(self, fp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, key, flips left) for every routing key that a variant of a fingerprint carries."""
-        pos = self.positions()[:n]
-        key = np.zeros(len(fp), np.int64)
-        for i, p in enumerate(pos):
-            key |= ((fp >> np.uint64(p)) & np.uint64(1)).astype(np.int64) << i
-        masks = [(sum(1 << i for i in c), self.half - k) for k in range(self.half + 1) for c in combinations(range(n), k)]
-        m, left = np.array([x for x, _ in masks], np.int64), np.array([x for _, x in masks], np.int8)
-        rows = np.repeat(np.arange(len(fp)), len(m))
-        return rows, (key[:, None] ^ m[None, :]).ravel(), np.tile(left, len(fp))
+    def copies(self, n: int) -> int:
+        """Keys of ``n`` bits that the variants of one fingerprint carry."""
+        return sum(math.comb(n, k) for k in range(self.half + 1))
+
+    def routes(self, fp: np.ndarray, n: int, hot: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, flips left) for every routing key that a variant of a fingerprint carries.
+
+        A key is a leading 1 and the values of the first bits in routing
+        order; ``hot`` keys are replaced by their extensions.
+        """
+        busy = np.array(sorted(hot), np.int64)
+        stack = [(np.arange(len(fp)), np.ones(len(fp), np.int64), np.full(len(fp), self.half, np.int8), 0, n)]
+        rows, keys, flips = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+        while stack:
+            row, key, left, used, more = stack.pop()
+            bits = np.zeros(len(row), np.int64)
+            for p in self.positions()[used : used + more]:
+                bits = bits << 1 | ((fp[row] >> np.uint64(p)) & np.uint64(1)).astype(np.int64)
+            for r in range(self.half + 1):
+                own = left == r
+                masks = [(sum(1 << i for i in c), r - k) for k in range(r + 1) for c in combinations(range(more), k)]
+                m, after = np.array([x for x, _ in masks], np.int64), np.array([x for _, x in masks], np.int8)
+                to = (key[own, None] << more | (bits[own, None] ^ m[None, :])).ravel()
+                out, rest = np.repeat(row[own], len(m)), np.tile(after, int(own.sum()))
+                split = np.isin(to, busy) if len(busy) else np.zeros(len(to), bool)
+                rows.append(out[~split])
+                keys.append(to[~split])
+                flips.append(rest[~split])
+                if split.any():
+                    stack.append((out[split], to[split], rest[split], used + more, min(4, self.bits - used - more)))
+        return np.concatenate(rows), np.concatenate(keys), np.concatenate(flips)
 
     def meet(self, fp: np.ndarray, left: np.ndarray, used: int, span: int = 1, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs of rows that share a variant.
@@ -142,31 +165,42 @@ class Ball:
                 yield x[x != y], y[x != y]
 
 
-def links(fps: DataFrame, ball: Ball = Ball()) -> DataFrame:
+def links(fps: DataFrame, ball: Ball = Ball(), home: int = 16_000) -> DataFrame:
     """``(a, b)``: links between different fingerprints, verified, that connect all within the radius.
 
-    ``fps`` has the distinct fingerprints as signed longs in ``fp``.
+    ``fps`` has the distinct fingerprints as signed longs in ``fp``. Keys of
+    more than four times the usual rows are split by four further bits, until
+    none is left; they are fewer than one in 4 * ``home`` fingerprints.
     """
-    n = ball.route_bits(fps.count())
+    n = ball.route_bits(fps.count(), home)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 4096):
-                rows, key, left = ball.routes(fp[at : at + 4096], n)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(left), pa.array(fp[at + rows].view(np.int64))], ["key", "flips", "fp"])
+    def sent(hot: frozenset[int]) -> DataFrame:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for at in range(0, len(fp), 4096):
+                    rows, key, left = ball.routes(fp[at : at + 4096], n, hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(fp[at + rows].view(np.int64))], ["key", "flips", "fp"])
+
+        return fps.select("fp").mapInArrow(send, "key long, flips byte, fp long")
 
     def group(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         found: list[np.ndarray] = [np.zeros((0, 2), np.uint64)]
-        for x, y in ball.meet(fp, table.column("flips").to_numpy(), n):
+        for x, y in ball.meet(fp, table.column("flips").to_numpy(), table.column("key")[0].as_py().bit_length() - 1):
             near = np.bitwise_count(fp[x] ^ fp[y]) <= 2 * ball.half
             found.append(np.stack([fp[x][near], fp[y][near]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    routed = fps.select("fp").mapInArrow(send, "key int, flips byte, fp long")
-    return routed.groupBy("key").applyInArrow(group, "a long, b long")
+    hot: frozenset[int] = frozenset()
+    most = 4 * home * ball.copies(n)
+    while True:
+        full = sent(hot).groupBy("key").count().where((F.col("count") > most) & (F.col("key") < 1 << min(ball.bits - 4, 58)))
+        more = frozenset(r[0] for r in full.select("key").collect())
+        if not more:
+            return sent(hot).groupBy("key").applyInArrow(group, "a long, b long")
+        hot |= more
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, ball: Ball = Ball()) -> DataFrame:
@@ -222,7 +256,7 @@ def shingle_counts(docs: DataFrame, text: str = "text", words: int = 5, bits: in
 
 
 def prefixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, text_hash, sig, size, prefix``: a hash of each text's set of shingles, its size and its rarest shingles.
+    """``doc_id, text_hash, sig, fp, size, prefix``: a hash of each text's set of shingles, its SimHash, its size and its rarest shingles.
 
     All texts order shingles alike, rare ones first. The prefix is so long
     that two sets of the given Jaccard similarity or more have a shingle of
@@ -230,13 +264,14 @@ def prefixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text, words))
-    names = ["doc_id", "text_hash", "sig", "size", "prefix"]
+    names = ["doc_id", "text_hash", "sig", "fp", "size", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         mask = np.uint64(len(often) - 1)
         for b in batches:
             sig: list[int | None] = []
+            fp: list[int] = []
             size: list[int] = []
             prefix: list[np.ndarray] = []
             for _, _, raw, offsets in tokens.chunks(b.column(2)):
@@ -247,13 +282,14 @@ def prefixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                     first = n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
                     prefix.append(own[np.lexsort((own, often[own & mask]))[:first]].view(np.int64))
                     size.append(n)
+                    fp.append(majority(own))
                     sig.append(int((remix(own, 11).sum(dtype=np.uint64) ^ remix(np.array([n], np.uint64), 12)[0]).view(np.int64)) if n else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names
+                [b.column(0), b.column(1), pa.array(sig, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names
             )
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, text_hash long, sig long, size int, prefix array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, text_hash long, sig long, fp long, size int, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -296,46 +332,68 @@ def open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFr
     return x.join(y, order & size & place).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
 
+def hashed_pairs(nodes: DataFrame, ball: Ball = Ball()) -> DataFrame:
+    """``a, b``: sets that SimHash proposes, from ``sig, fp``: those of linked fingerprints, each by its smallest set, and of equal ones."""
+    firsts = nodes.groupBy("fp").agg(F.min("sig").alias("first"))
+    near = written(links(firsts, ball), "balls")
+    first = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_sig"))
+    apart = near.join(first("a"), "a").join(first("b"), "b").select("a_sig", "b_sig")
+    equal = nodes.join(firsts, "fp").where("sig <> first").select("first", "sig")
+    both = apart.union(equal)
+    return both.select(F.least(*both.columns).alias("a"), F.greatest(*both.columns).alias("b"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id.
 
     Groups are connected by pairs whose sets of shingles have a Jaccard
-    similarity of at least ``similarity``. The search is exact: each pair
-    shares a shingle of its prefixes. Neighbours in size under a shingle are
-    verified first; then all other pairs that those links leave unconnected.
-    Documents without words are never grouped. Of repeated rows of an id one
-    stays; null ids come before others, ties go by text hash.
+    similarity of at least ``similarity``. SimHash and its ball join propose
+    pairs, but at such similarities fingerprints differ by more bits than a
+    ball can hold, so an exact search completes them: each pair shares a
+    shingle of its prefixes. Pairs of SimHash and neighbours in size under a
+    shingle are verified first; then all other pairs that those links leave
+    unconnected. Null texts and texts without words are never grouped. Of
+    repeated rows of an id and text one stays; null ids come before others,
+    ties go by text hash. An empty table gives an empty one; other columns
+    are carried, whatever their names.
     """
+    spark = docs.sparkSession
+    row = F.struct("doc_id", "text_hash")
     rows = written(prefixes(docs, doc_id, text, words, similarity), "prefixes")
     have = rows.where("sig IS NOT NULL")
     nodes = written(
-        have.groupBy("sig").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("low")), "nodes"
+        have.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(row).alias("low")), "nodes"
     )
     shared = written(shared_prefixes(nodes), "shared")
+    release(spark)
+    # One key that is never null, so that rows of a document meet in one partition and need no second shuffle to be told apart.
     given = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("text"), F.xxhash64(text).alias("__text"))
+    given = given.withColumn("__key", F.xxhash64("__own", "__text"))
 
     def similar(pairs: DataFrame, what: str) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs.distinct(), "pairs")
         used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = nodes.join(used, "sig").select("sig", F.col("low.doc_id").alias("__id"), F.col("low.text_hash").alias("__hash"))
-        texts = given.join(wanted, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))).select("sig", "text")
-        sets = written(shingle_sets(texts, words).dropDuplicates(["sig"]), "sets")
+        wanted = wanted.withColumn("__key", F.xxhash64("__id", "__hash"))
+        same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+        texts = given.join(wanted, "__key").where(same).dropDuplicates(["__key", "sig"]).select("sig", "text")
+        sets = written(shingle_sets(texts, words), "sets")
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         counted = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n"))
         out = written(counted.where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b"), what)
         forget(pairs, sets)
+        release(spark)
         return out
 
-    beside = shared.where(F.col("low_size") >= F.lit(similarity) * F.col("size") - 1e-6).select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct()
-    near = similar(beside, "near")
+    beside = shared.where(F.col("low_size") >= F.lit(similarity) * F.col("size") - 1e-6).select(F.least("low", "sig").alias("a"), F.greatest("low", "sig").alias("b"))
+    near = similar(beside.unionByName(hashed_pairs(nodes.select("sig", "fp"))), "near")
     linked = near.unionByName(similar(open_pairs(shared, components(near), similarity), "far"))
     roots = components(linked)
     forget(shared)
     named = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("keep"))
     kept = named.join(lowest, "root").select("sig", "keep")
-    row = F.struct("doc_id", "text_hash")
     gone = have.join(kept, "sig").where(~row.eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own, hashed = F.col(doc_id), F.xxhash64(text)
     out = docs.join(gone, own.eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")), "left_anti")
