@@ -18,16 +18,17 @@ document's highest units and each clean document's highest ones retrain it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm import tokens
-from siftlake.llm.common import residue
+from siftlake.llm.common import forget, residue, written
 
 #: Distances between the four symbols of a subsequence, at most two symbols skipped; each costs a factor.
 _SHAPES = tuple((a, b, c, a + b + c - 3) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3) if a + b + c <= 5)
@@ -47,13 +48,18 @@ _SYMBOL[0x80:0x9F] = _SYMBOL[0xA0:0xBF]  # small and capital Latin letters after
 
 @dataclass(frozen=True)
 class Options:
-    """Bounds of the fit on the driver, and its constants.
+    """Bounds of the fit, which one task runs, and its constants.
 
     At most ``per_class`` labelled documents of either class are fitted on,
-    those whose ids hash lowest.
+    those whose ids hash lowest, and of these, in that order, only as many
+    as have ``train_bytes`` of whole text together. The machine starts from
+    at most ``positives`` units of toxic documents, those with the most
+    evidence, and ``negatives`` of clean ones.
     """
 
     per_class: int = 1500
+    train_bytes: int = 64 << 20
+    positives: int = 4000
     landmarks: int = 800
     negatives: int = 10_000
     rounds: int = 4
@@ -336,7 +342,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, options: Options = Op
     np.maximum.at(evidence, unit, _standing_out(gt, gc, nt, nc)[gram])
     evidence[(t == 0) | (c * nt > t * nc / 4)] = 0
     positive = np.flatnonzero(evidence > np.log(len(grams)) + 2)
-    positive = positive[np.argsort(-evidence[positive] - t[positive] / (1 + t.max()), kind="stable")][:4000]
+    positive = positive[np.argsort(-evidence[positive] - t[positive] / (1 + t.max()), kind="stable")][: options.positives]
     if not len(positive):
         positive = np.argsort(-_standing_out(t, c, nt, nc), kind="stable")[:10]
     clean = np.flatnonzero(c > 0)
@@ -378,7 +384,10 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), doc_
     """Fit on a bounded sample of labelled documents: of either class those whose ids hash lowest.
 
     Rows without an id or label are left out; of repeated labels of an id
-    the highest counts.
+    the highest counts, of repeated rows of an id the smallest text (null
+    texts are empty). Without labels, or labels of one class only, the score
+    is the same everywhere. The sample goes to one task, not to the driver,
+    which receives the model (some MB).
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.max(label) > 0).alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -386,14 +395,27 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), doc_
         return fit([""], np.array([False]), 0.5, options)
     low = lambda flag: known.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.per_class)
     picked = F.broadcast(low(True).unionByName(low(False)))
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    texts = got.column("text").take(order).to_pylist()
-    return fit(texts or [""], np.asarray(got.column("toxic").take(order).to_pylist() or [False], bool), float(share), options)
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).join(picked, "doc_id")
+    sample = written(given.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
+    # Rows of the sample's ids and sizes, at most 2 * per_class, in one order.
+    sizes = sample.select("doc_id", F.octet_length("text").alias("size")).withColumn("rank", F.xxhash64("doc_id"))
+    upto = F.sum("size").over(Window.orderBy("rank", "doc_id"))
+    few = F.broadcast(sizes.select("doc_id", upto.alias("upto")).where(F.col("upto") <= options.train_bytes).select("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            table = pa.Table.from_batches(got).sort_by("doc_id")
+            model = fit(table.column("text").to_pylist(), np.asarray(table.column("toxic").to_pylist(), bool), float(share), options)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    fitted = sample.join(few, "doc_id").select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    forget(sample)
+    return pickle.loads(fitted[0][0]) if fitted else fit([""], np.array([False]), float(share), options)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, score`` of every whole text; null texts are empty."""
+    """``doc_id, score`` of every whole text; null texts are empty, repeated rows and null ids stay, an empty table gives an empty one."""
     kind = docs.schema[doc_id].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some MB: the landmarks' features
 
