@@ -24,9 +24,9 @@ PATTERNS = (
     ("iban", rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{_END}"),
     ("date", rf"(?<![0-9A-Za-z.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}})(?![0-9A-Za-z-])"),
     ("ssn", rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])"),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{1,4}(?:(?:[ .-]?[0-9]{2}){4,5}|(?:[ .-]?[0-9]{2,4}){1,3})(?![0-9A-Za-z])"),
     ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"),
-    ("card", rf"{_EDGE}[0-9](?:[ -]?[0-9]){{12,18}}{_END}"),
+    ("card", rf"{_EDGE}[0-9](?:[ -]?[0-9]){{12,63}}{_END}"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 ROUNDS = 10
@@ -84,15 +84,17 @@ def characters(value: Column, key: str, tweak: str) -> Column:
     """Permute a text of any length; each character stays in its class (digit, small or capital letter, accented)."""
 
     def shift(s: Column, by: Column) -> Column:
-        def one(c: Column, j: Column) -> Column:
-            f = F.conv(F.substring(_keyed(key, tweak, by, F.floor(j / 16).cast("string")), (j % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        def one(c: Column, f: Column) -> Column:
             out = c
             for members in _CLASSES:
                 at = F.instr(F.lit(members), c)
                 out = F.when(at > 0, F.substring(F.lit(members), (at - 1 + f) % len(members) + 1, F.lit(1))).otherwise(out)
             return out
 
-        return F.when(s == "", s).otherwise(F.array_join(F.transform(F.split(s, ""), one), ""))
+        # One hash serves sixteen characters.
+        hashes = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 16).cast("int")), lambda b: _keyed(key, tweak, by, b.cast("string")))
+        number = lambda h, j: F.conv(F.substring(F.get(h, F.floor(j / 16).cast("int")), (j % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return F.when(s == "", s).otherwise(_once(hashes, lambda h: F.array_join(F.transform(F.split(s, ""), lambda c, j: one(c, number(h, j))), "")))
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -186,13 +188,30 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def go(d: Column) -> Column:
+    """The match as one card, or else the longest runs of its groups that are cards, from the left."""
+
+    def card(shape: Column, d: Column) -> Column:
         head = F.substring(d, F.lit(1), F.length(d) - 1)
         new = digits(head, key, "card")
-        checked = _once(new, lambda h: F.concat(h, ((10 - _luhn(F.concat(h, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(_luhn(d) % 10 == 0, _refill(m, checked)).otherwise(m)
+        return _refill(shape, _once(new, lambda h: F.concat(h, ((10 - _luhn(F.concat(h, F.lit("0"))) % 10) % 10).cast("string"))))
+
+    valid = lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & (_luhn(d) % 10 == 0)
+
+    def runs(groups: Column) -> Column:
+        run = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+
+        def step(s: Column, i: Column) -> Column:
+            lengths = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
+            found = F.array_max(F.filter(lengths, lambda n: _once(_only_digits(run(i, n)), valid)))
+            taken = lambda n: F.when(n.isNull(), F.struct((i + 1).alias("at"), F.concat(s["out"], F.get(groups, i)).alias("out"))).otherwise(
+                F.struct((i + n).alias("at"), F.concat(s["out"], card(run(i, n), _only_digits(run(i, n)))).alias("out"))
+            )
+            return F.when(i < s["at"], s).otherwise(_once(found, taken))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
 
-    return _once(_only_digits(m), go)
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return _once(_only_digits(m), lambda d: F.when(valid(d), card(m, d)).when(F.length(d) == F.length(m), m).otherwise(_once(groups, runs)))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -232,8 +251,11 @@ def pseudonymised(docs: DataFrame, how: Pseudonyms, text: str = "text") -> DataF
     """``docs`` with ``text`` rewritten; all columns stay, in order; null texts stay null.
 
     Numbers that fail their check (Luhn, mod 97, octets, calendar, area
-    numbers) aren't personal data and stay. The result's row count and
-    every character outside a replaced value are unchanged.
+    numbers) aren't personal data and stay; of a row of groups of digits, up
+    to 64 of them at a time, those that are cards are replaced. The result's
+    row count and every character outside a replaced value are unchanged.
+    Repeated rows stay, an empty table gives an empty one, other columns are
+    carried, whatever their names.
     """
     return docs.select(*[_rewritten(F.col(text), how)[0].alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
