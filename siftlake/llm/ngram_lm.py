@@ -73,12 +73,39 @@ def _firsts(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sums(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sorted distinct rows of ``columns`` and the sums of ``values`` over each, in 64 bits."""
+def _sums(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted hashes of the distinct rows of ``columns``, these rows, and the sums of ``values`` over each, in 64 bits."""
+    key = _fold(columns)
+    order = np.argsort(key)
+    key = key[order]
+    first = _firsts([key])
+    sums = [np.add.reduceat(v[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in values]
+    return key[first], [c[order[first]] for c in columns], sums
+
+
+def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows and how often each occurs."""
+    if len(columns) == 1:
+        (key, often) = np.unique(columns[0], return_counts=True)
+        return [key], often
+    distinct = np.unique(np.concatenate([np.unique(c) for c in columns]))
+    n = len(distinct)
+    if n ** len(columns) < 1 << 63:  # one number a row, in the order of rows
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            key = key * n + np.searchsorted(distinct, c)
+        key.sort()
+        first = _firsts([key])
+        often = np.diff(np.append(first, len(key)))
+        key, rows = key[first], []
+        for _ in columns:
+            rows.append(distinct[key % max(1, n)])
+            key //= max(1, n)
+        return rows[::-1], often
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     first = _firsts(columns)
-    return [c[first] for c in columns], [np.add.reduceat(v[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in values]
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
 def _squeeze(columns: list[np.ndarray]) -> bytes:
@@ -115,17 +142,26 @@ def _coded(values: list[np.ndarray]) -> dict[str, np.ndarray]:
     n = len(values[0])
     if not n:
         return {"code": np.zeros(0, np.uint8), "rows": np.zeros((0, len(values)), "<u8"), "place": np.zeros(0, "<u8"), "other": np.zeros((0, len(values)), "<u8")}
-    order = np.lexsort(values[::-1])
-    ordered = [v[order] for v in values]
-    first = _firsts(ordered)
-    often = np.diff(np.append(first, n))
-    rank = np.argsort(-often, kind="stable")
-    code_of = np.full(len(first), 255, np.uint8)
+    # Rows of numbers under 32 are told apart by one number; few others are left to be sorted.
+    small = np.all([v < 32 for v in values], axis=0)
+    key = np.zeros(n, np.int64)
+    for v in values:
+        key = key << 5 | v
+    often = np.bincount(key[small], minlength=1)
+    found = np.flatnonzero(often)
+    shifts = np.arange(len(values) - 1, -1, -1) * 5
+    rest = np.flatnonzero(~small)
+    others, back, times = np.unique(np.stack([v[rest] for v in values], axis=1), axis=0, return_inverse=True, return_counts=True)
+    table = np.concatenate([found[:, None] >> shifts & 31, others])
+    rank = np.argsort(-np.concatenate([often[found], times]), kind="stable")
+    code_of = np.full(len(table), 255, np.uint8)
     code_of[rank[:255]] = np.arange(min(255, len(rank)))
+    of_key = np.full(len(often), 255, np.uint8)
+    of_key[found] = code_of[: len(found)]
     code = np.empty(n, np.uint8)
-    code[order] = np.repeat(code_of, often)
+    code[small] = of_key[key[small]]
+    code[rest] = code_of[len(found) + back.ravel()]
     place = np.flatnonzero(code == 255)
-    table = np.stack([v[first] for v in ordered], axis=1)
     return {"code": code, "rows": table[rank[:255]].astype("<u8"), "place": place.astype("<u8"), "other": np.stack([v[place] for v in values], axis=1).astype("<u8")}
 
 
@@ -176,12 +212,10 @@ def _mapped(path: str) -> dict[str, np.ndarray] | None:
 
 
 def _save_table(path: str, key: np.ndarray, values: list[np.ndarray]) -> None:
-    """A sorted hash array: buckets by the first bits of the key, then 32 bits of each key, and coded values."""
-    order = np.argsort(key)
-    key = key[order]
+    """A sorted hash array, from sorted keys: buckets by the first bits of the key, then 32 bits of each key, and coded values."""
     bits = _bits(len(key))
     start = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
-    _save(path, start=start, key=(key >> np.uint64(32 - bits)).astype("<u4"), **_coded([v[order] for v in values]))
+    _save(path, start=start, key=(key >> np.uint64(32 - bits)).astype("<u4"), **_coded(values))
 
 
 def _find(path: str, key: np.ndarray, width: int) -> np.ndarray:
@@ -283,11 +317,6 @@ class Model:
         number[known] = number[known] << np.uint64(1) | hot[known].astype(np.uint64)
         return number, count
 
-    def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct, back = np.unique(hashes, return_inverse=True)
-        number, count = self.words(distinct)
-        return number[back], count[back]
-
     def look_up(self, kind: str, part: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
         """Rows of counts of keys, each in the table of its partition."""
         out = np.zeros((len(key), width), np.int64)
@@ -301,31 +330,39 @@ class Model:
     def _discount(self, count: np.ndarray, level: int) -> np.ndarray:
         return np.array([0.0, *self.discounts[level - 1]])[np.minimum(count, 3)]
 
-    def probabilities(self, number: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Probability of each token after the tokens before it in its text; ``count`` tokens a text."""
-        columns = _windows(number, count, self.order)
-        # Each different n-gram is looked up once.
-        order = np.lexsort(columns[::-1])
-        first = _firsts([c[order] for c in columns])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        columns = [c[order[first]] for c in columns]
+    def probabilities(self, words: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Probability of each token after the tokens before it in its text.
+
+        ``words`` are numbers of different words, ``which`` says for each
+        token which of them it is, ``count`` how many tokens a text has.
+        Each different n-gram of every order is looked up once.
+        """
+        before = self.order - 1
+        begin = np.cumsum(count + before) - count - before
+        real = np.arange(len(which)) + np.repeat(begin + before - (np.cumsum(count) - count), count)
+        words = np.append(words, _BEGIN)
+        sequence = np.full(len(which) + before * len(count), len(words) - 1)
+        sequence[real] = which
         total, n1, n2, n3 = self.unigrams or [0, 0, 0, 0]
         d = self.discounts[0]
-        seen = self._counts(columns[-1:])
+        columns, index = [words], sequence
+        seen = self._counts(columns)
         if total:
             p = np.maximum(seen - self._discount(seen, 1), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total / (self.types + 1)
         else:
-            p = np.full(len(first), 1 / (self.types + 1))
+            p = np.full(len(words), 1 / (self.types + 1))
         for level in range(2, self.order + 1):
-            own = columns[-level:]
-            known = self._counts(own[:-1]) > 0
-            total, n1, n2, n3 = self._contexts(own[:-1], known)
-            seen = self._counts(own)
+            # The n-gram that ends at a place: the shorter one that ends before it, and its word. Across texts they mean nothing.
+            grams, example, after = np.unique(index[:-1] * len(words) + sequence[1:], return_index=True, return_inverse=True)
+            context, shorter = grams // len(words), index[1:][example]
+            total, n1, n2, n3 = self._contexts(columns, seen > 0)[:, context]
+            columns = [*[c[context] for c in columns], words[grams % len(words)]]
+            seen = self._counts(columns)
             d, some = self.discounts[level - 1], total > 0
             total = np.where(some, total, 1)
-            p = np.where(some, np.maximum(seen - self._discount(seen, level), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total * p, p)
-        return p[back]
+            p = np.where(some, np.maximum(seen - self._discount(seen, level), 0) / total + (d[0] * n1 + d[1] * n2 + d[2] * n3) / total * p[shorter], p[shorter])
+            index = np.append(0, after)
+        return p[index[real]]
 
     def _counts(self, columns: list[np.ndarray]) -> np.ndarray:
         return self.look_up(f"grams-{len(columns)}", _places(columns, self.parts)[0], _fold(columns), 1)[:, 0]
@@ -356,8 +393,8 @@ _SHAPE = "kind string, part int, blob binary"
 
 
 def _rows(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A blob for each partition; the rows of ``columns`` are sorted within it."""
-    order = np.lexsort([*columns[::-1], part])
+    """A blob for each partition, in which the sorted rows of ``columns`` stay in order."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
     blobs = [_squeeze([c[a:b] for c in columns]) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -382,7 +419,7 @@ def _counting(number_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], p
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            columns, (n,) = _sums(columns, [np.ones(len(columns[0]), np.int64)])
+            columns, n = _counted(columns)
             return _rows("gram", place(columns), [*columns, n])
 
         for b in batches:
@@ -399,7 +436,10 @@ def _counting(number_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], p
 def _merge_words(path: str, ranges: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        (key,), (count,) = _sums(*[[c] for c in _unsqueeze(table.column("blob").to_pylist(), 2)])
+        key, n = _unsqueeze(table.column("blob").to_pylist(), 2)
+        order = np.argsort(key)
+        first = _firsts([key[order]])
+        key, count = key[order[first]], np.add.reduceat(n[order].astype(np.int64), first)
         _save(f"{path}/words/{part}", key=key, **_coded([count]))
         most = np.argsort(-count, kind="stable")[: max(1, _TOP // ranges)]
         top = {"hash": [int(k) for k in key[most]], "count": [int(c) for c in count[most]]}
@@ -412,21 +452,19 @@ def _merge_grams(path: str, level: int, parts: int) -> Callable[[pa.Table], pa.T
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         *columns, n = _unsqueeze(table.column("blob").to_pylist(), level + 1)
-        columns, (count,) = _sums(columns, [n])
-        _save_table(f"{path}/grams-{level}/{part}", _fold(columns), [count])
+        key, columns, (count,) = _sums(columns, [n])
+        _save_table(f"{path}/grams-{level}/{part}", key, [count])
         small = np.minimum(count, 5)
         out = [_said(part, n=np.bincount(small, minlength=6)[1:5].tolist(), n3=int((count >= 3).sum()), total=int(count.sum()))]
         if level > 1:
-            context = columns[:-1]
-            first = _firsts(context)
-            stats = [np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)]
-            context = [c[first] for c in context]
+            _, context, stats = _sums(columns[:-1], [count, count == 1, count == 2, count >= 3])
             whole = _places([*context, context[0]], parts)[1]
             _save_contexts(f"{path}/contexts-{level}/{part}", [c[~whole] for c in context], [x[~whole] for x in stats])
             if whole.any():
                 context = [c[whole] for c in context]
-                out.append(_rows("context", _range(_fold(context, 4), parts), [*context, *[x[whole] for x in stats]]))
-            rest, (n,) = _sums(columns[1:], [np.ones(len(count), np.int64)])
+                order = np.lexsort(context[::-1])
+                out.append(_rows("context", _range(_fold(context, 4), parts)[order], [*[c[order] for c in context], *[x[whole][order] for x in stats]]))
+            rest, n = _counted(columns[1:])
             out.append(_rows("gram", _places(rest, parts)[0], [*rest, n]))
         return pa.Table.from_batches(out)
 
@@ -436,14 +474,16 @@ def _merge_grams(path: str, level: int, parts: int) -> Callable[[pa.Table], pa.T
 def _save_contexts(path: str, context: list[np.ndarray], stats: list[np.ndarray]) -> None:
     """Without contexts of one n-gram seen once, which show by being n-grams of the order below; begin tokens never do."""
     keep = (stats[0] != 1) | (context[-1] == _BEGIN)
-    _save_table(path, _fold([c[keep] for c in context]), [x[keep] for x in stats])
+    key = _fold([c[keep] for c in context])
+    order = np.argsort(key)
+    _save_table(path, key[order], [x[keep][order] for x in stats])
 
 
 def _merge_contexts(path: str, level: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         columns = _unsqueeze(table.column("blob").to_pylist(), level + 3)
-        context, stats = _sums(columns[: level - 1], columns[level - 1 :])
+        _, context, stats = _sums(columns[: level - 1], columns[level - 1 :])
         _save_contexts(f"{path}/hot-contexts-{level}/{part}", context, stats)
         return pa.table({"part": pa.array([part], pa.int32())})
 
@@ -479,7 +519,8 @@ def train(texts: DataFrame, order: int = 3, text: str = "text", parts: int | Non
     release(spark)
 
     def windows(h: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-        return _windows(model.numbered(h)[0], count, order)
+        distinct, which = np.unique(h, return_inverse=True)
+        return _windows(model.words(distinct)[0][which], count, order)
 
     rows: DataFrame = given.mapInArrow(_counting(windows, lambda c: _places(c, model.parts)[0]), _SHAPE)
     before = None
@@ -514,10 +555,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for b in batches:
             n_tokens = np.zeros(b.num_rows, np.int64)
             n_known, base, full = n_tokens.copy(), np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for lo, hi, raw, offsets in tokens.chunks(b.column(1), 2 << 20):
+            for lo, hi, raw, offsets in tokens.chunks(b.column(1)):
                 h, count = _words(raw, offsets)
-                number, seen = model.numbered(h)
-                p = model.probabilities(number, count)
+                distinct, which = np.unique(h, return_inverse=True)
+                words, known = model.words(distinct)
+                p, seen = model.probabilities(words, which, count), known[which]
                 first = np.cumsum(count) - count
                 n_tokens[lo:hi] = count
                 n_known[lo:hi] = np.add.reduceat((seen > 0).astype(np.int64), first)
