@@ -96,18 +96,50 @@ def within_edits(token: Column, term: str, max_edits: int = 1, prefix_length: in
     near = (F.abs(F.length(rest) - len(tail)) <= max_edits) & (F.levenshtein(rest, F.lit(tail), max_edits) >= 0)
     if transpositions:
         if max_edits == 1:
-            near = near | _one_swap(rest, tail)
+            near = near | ((F.length(rest) == len(tail)) & _one_swap(rest, tail))
         else:
             near = near | ((F.levenshtein(rest, F.lit(tail), 2 * max_edits) >= 0) & (osa_distance(rest, tail) <= max_edits))
     return starts & near
 
 
+def _pieces(text: Column) -> Column:
+    """:func:`tokens`, and empty strings perhaps."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), _SEPARATORS)
+
+
+def _may_hold(text: Column, term: str, max_edits: int, prefix_length: int, transpositions: bool) -> Column:
+    """A cheap necessary condition on a whole text: it holds the prefix, and some piece of the rest unchanged.
+
+    An edit damages one of the rest's pieces, a transposition two at most,
+    so with one piece more than can be damaged one stands in the token.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    head = term[:prefix_length]
+    tail = term[len(head) :]
+    n = max_edits * (2 if transpositions else 1) + 1
+    out = F.contains(low, F.lit(head)) if head else F.lit(True)
+    if len(tail) >= n:
+        cuts = [len(tail) * i // n for i in range(n + 1)]
+        some = [F.contains(low, F.lit(tail[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        any_of = some[0]
+        for s in some[1:]:
+            any_of = any_of | s
+        out = out & any_of
+    return out
+
+
 def token_match(text: Column, term: str) -> Column:
-    return F.array_contains(tokens(text), term)
+    """Whether a token equals the term; only texts that hold it anywhere are taken apart."""
+    if not term:
+        return F.lit(False)
+    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(term)) & F.array_contains(_pieces(text), term)
 
 
 def fuzzy_match(text: Column, term: str, max_edits: int = 1, prefix_length: int = 0, transpositions: bool = True) -> Column:
-    return F.exists(tokens(text), lambda t: within_edits(t, term, max_edits, prefix_length, transpositions))
+    near = lambda t: (t != "") & within_edits(t, term, max_edits, prefix_length, transpositions)
+    # The length rules most tokens out before anything is compared.
+    sized = lambda t: (F.length(t) >= len(term) - max_edits) & (F.length(t) <= len(term) + max_edits) & near(t)
+    return _may_hold(text, term, max_edits, prefix_length, transpositions) & F.exists(_pieces(text), sized)
 
 
 def edit_distance(a: str, b: str, transpositions: bool = True) -> int:

@@ -158,8 +158,24 @@ class DynamicQuery:
         return _flat(self.compiled().filtered())
 
     def page(self, offset: int = 0, limit: int = 500) -> DataFrame:
-        """Rows ``offset`` to ``offset + limit`` by file and position."""
-        df = self.compiled().filtered()
+        """Rows ``offset`` to ``offset + limit`` by file and position.
+
+        Of several files only those that hold rows of the page are sorted,
+        known from a count of the matches in each.
+        """
+        query = self.compiled()
+        df = query.filtered()
+        if offset and len(query.paths) > 1:
+            count = {scan.local(r[0]): r[1] for r in scan.by_file(df).collect()}
+            before, held = 0, []
+            for path in query.paths:
+                n = count.get(scan.local(path), 0)
+                if n and before < offset + limit and before + n > offset:
+                    held.append((path, before))
+                before += n
+            if before == sum(count.values()) and held:
+                df = replace(query, paths=tuple(p for p, _ in held)).filtered()
+                offset -= held[0][1]
         names = [path for path, _ in scan.leaf_paths(df.schema)]
         return scan.in_file_order(df).select(*[P.column(n).alias(n) for n in names]).offset(offset).limit(limit)
 

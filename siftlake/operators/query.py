@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import nullcontext
 from dataclasses import dataclass, field, replace
 from types import MappingProxyType
 from typing import Any
@@ -47,6 +48,7 @@ class Query:
     cache: Any = caches.DEFAULT
     strict: bool = False
     encryption: Encryption = Encryption()
+    pool: ReaderPool | None = None
 
     # sources
 
@@ -76,10 +78,14 @@ class Query:
     def with_reader_factory(self, factory: scan.ReaderFactory) -> Query:
         if factory is None:
             raise ValueError("a factory is needed")
-        return replace(self, factory=factory)
+        return replace(self, factory=factory, pool=None)
 
     def with_reader_pool(self, pool: ReaderPool) -> Query:
-        return self.with_reader_factory(pool.factory)
+        """Scan by a pool, whose lease every result of this query holds while it runs."""
+        return replace(self.with_reader_factory(pool.factory), pool=pool)
+
+    def _lease(self):
+        return nullcontext() if self.pool is None else self.pool.lease(self.paths)
 
     def with_cache(self, cache: Any) -> Query:
         return replace(self, cache=cache)
@@ -181,7 +187,9 @@ class Query:
     def _key(self, mode: str) -> str:
         parts = [mode, [caches.file_stamp(p) for p in self.paths], sorted(self.options.items()), self.schema.json() if self.schema else None, self.strict]
         parts += [[p.describe() for p in self.filter.predicates], [c.describe() for c in self.conditions], [str(x.path if isinstance(x, P.Field) else x) for x in self.projection or ()]]
-        parts += [[(type(p).__qualname__, getattr(p, "identity", id(p)), vars(p).get("terms"), vars(p).get("bitmaps")) for p in self.planners], id(self.factory), self.encryption.fingerprint()]
+        pushed = self._split()[0]
+        stamp = lambda p: p.stamp(self.paths, pushed) if hasattr(p, "stamp") else caches.identity(p)
+        parts += [[(type(p).__qualname__, stamp(p)) for p in self.planners], caches.identity(self.factory), self.encryption.fingerprint()]
         return caches.key(parts)
 
     def plan(self) -> QueryPlan:
@@ -204,12 +212,24 @@ class Query:
         return out
 
     def _selected(self, pushed: tuple[P.Predicate, ...]) -> list[str]:
-        """Files that planners don't rule out. Only asked with planners: Spark prunes by partition and statistics itself."""
-        asked = [(planner, p) for planner in self.planners for p in pushed if planner.can_plan(p)]
+        """Files that planners don't rule out. Only asked with planners: Spark prunes by partition and statistics itself.
+
+        A planner with ``files`` answers for all of them at once, from one
+        look-up; others are asked for each row group of each footer.
+        """
+        left = list(self.paths)
+        asked = []
+        for planner in self.planners:
+            for p in pushed:
+                if planner.can_plan(p):
+                    if hasattr(planner, "files"):
+                        left = planner.files(left, p)
+                    else:
+                        asked.append((planner, p))
         if not asked:
-            return list(self.paths)
+            return left
         keep = []
-        for path in self.paths:
+        for path in left:
             groups = range(len(footers.read(path).groups))
             may = lambda g: all((d := planner.evaluate(path, g, p)) is None or d.may_match for planner, p in asked)  # noqa: B023, E731
             if not groups or any(may(g) for g in groups):
@@ -223,6 +243,9 @@ class Query:
         if self.encryption.wanted:
             self.encryption.require_client(self.spark)
             options |= self.encryption.options()
+            if self.encryption.column_key:
+                schema = self.schema or scan.read_files(self.spark, paths[:1], options).schema
+                options |= self.encryption.options([name.replace("/", ".") for name, _ in scan.leaf_paths(schema)])
         if self.schema is not None and self.factory is scan.default_factory:
             return scan.read_files(self.spark, paths, options, self.schema)
         return self.factory(self.spark, paths, options)
@@ -252,24 +275,37 @@ class Query:
     # results
 
     def to_list(self) -> list[Row]:
-        return self.dataframe().collect()
+        with self._lease():
+            return self.dataframe().collect()
 
     def to_iterator(self) -> Iterator[Row]:
         """Rows pulled partition by partition."""
-        return self.dataframe().toLocalIterator()
+        with self._lease():
+            yield from self.dataframe().toLocalIterator()
 
     def count(self) -> int:
-        """Rows that match; without conditions the sum of the footers' counts. The projection doesn't matter."""
-        if self.filter.empty and not self.conditions and self.factory is scan.default_factory and not self.encryption.wanted:
-            return sum(footers.read(p).rows for p in self.paths)
-        return self.filtered().count()
+        """Rows that match. The projection doesn't matter; without conditions Spark reads the footers only, in parallel."""
+        with self._lease():
+            return self.filtered().count()
 
     long_count = count
 
     def any(self) -> bool:
-        return bool(self.filtered().select(F.lit(1)).limit(1).take(1))
+        with self._lease():
+            return bool(self.filtered().select(F.lit(1)).limit(1).take(1))
 
     def first_or_default(self, default: Any = None) -> Row | Any:
-        """The first row by file and position."""
-        got = self._projected(scan.in_file_order(self.filtered())).limit(1).collect()
-        return got[0] if got else default
+        """The first row by file and position.
+
+        Files are in order, so the first file with a match has it: files are
+        searched in runs that double, and the search ends with a match.
+        """
+        with self._lease():
+            at, run = 0, 1
+            while at < len(self.paths):
+                part = replace(self, paths=self.paths[at : at + run])
+                got = self._projected(scan.in_file_order(part.filtered())).limit(1).collect()
+                if got:
+                    return got[0]
+                at, run = at + run, run * 2
+            return default

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import itertools
 import threading
+import weakref
 from collections import OrderedDict
 from collections.abc import Iterable
 from typing import Any, Protocol
 
-from siftlake.sources.scan import local
+from siftlake.sources import scan
 
 
 class PlanCache(Protocol):
@@ -61,11 +62,30 @@ DEFAULT = LruPlanCache()
 def file_stamp(path: str) -> tuple[str, int, int]:
     """Path, size and modification time: a rewritten file has another stamp."""
     try:
-        s = os.stat(local(path))
-        return path, s.st_size, s.st_mtime_ns
+        return path, *scan.status(path)
     except OSError:
         return path, -1, -1
 
 
+_NUMBERS = itertools.count(1)
+_WEAK: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_STRONG: dict[int, tuple[Any, int]] = {}
+
+
+def identity(thing: Any) -> str:
+    """A name for an object that no other object ever gets, except one equal to it; methods of an object are told apart by name."""
+    if hasattr(thing, "__self__") and hasattr(thing, "__func__"):
+        return f"{identity(thing.__self__)}.{thing.__func__.__qualname__}"
+    try:
+        if thing not in _WEAK:
+            _WEAK[thing] = next(_NUMBERS)
+        return str(_WEAK[thing])
+    except TypeError:  # without hash or weak references: kept alive, so that its id isn't used again
+        held = _STRONG.setdefault(id(thing), (thing, 0))
+        if not held[1]:
+            held = _STRONG[id(thing)] = (thing, next(_NUMBERS))
+        return f"kept-{held[1]}"
+
+
 def key(parts: Iterable[Any]) -> str:
     return hashlib.sha256(repr(tuple(parts)).encode()).hexdigest()

@@ -12,8 +12,7 @@ from __future__ import annotations
 import json
 import os
 import warnings
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +23,11 @@ from siftlake.operators.predicates import Compare, Op, Predicate, TokenMatch, co
 from siftlake.plans import footer as footers
 from siftlake.plans.cache import LruPlanCache, file_stamp
 from siftlake.plans.prune import Decision
+from siftlake.sources import scan
 from siftlake.sources.scan import list_directory, local, read_files
 from siftlake.sources.write import IndexContext, IndexDescriptor, IndexKind
 
-BITMAP, TERMS, SORT_ORDER = "bitmap", "terms", "sort-order"
+BITMAP, TERMS, SORT_ORDER, KEY_VALUES = "bitmap", "terms", "sort-order", "key-values"
 SUPPORTED = (
     T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType,
     T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.BinaryType,
@@ -52,6 +52,11 @@ def directory(path: str, kind: str, col: str) -> str:
     return f"{local(path)}/_index/{kind}/{col.replace('/', '.').replace('%', '%25')}"
 
 
+def _read_text(path: str) -> str:
+    with scan.opened(path) as f:
+        return f.read().decode()
+
+
 def _groups(spark: SparkSession, files: Iterable[str]) -> DataFrame:
     """Row ranges of the row groups of each file, from the footers."""
     rows = []
@@ -67,7 +72,7 @@ def _groups(spark: SparkSession, files: Iterable[str]) -> DataFrame:
 def _placed(spark: SparkSession, path: str, col: str, keys) -> DataFrame:
     """(file, size, mtime, row_group, value) of the distinct keys in each row group."""
     files = list_directory(spark, path)
-    groups = F.broadcast(_groups(spark, files))  # one row a row group of the dataset being written
+    groups = _groups(spark, files)  # Spark broadcasts it while it is small; else both sides meet by file
     source = read_files(spark, files)
     if col.split("/")[0] not in source.columns:
         raise ValueError(f"column {col} is not in {path}")
@@ -137,32 +142,48 @@ class SortOrderStrategy:
 
     def apply(self, context: IndexContext, d: IndexDescriptor) -> None:
         keys = [{"path": k.column, "order": k.order, "direction": "desc" if k.descending else "asc"} for k in context.plan.of_kind(IndexKind.SORT_KEY)]
-        at = f"{local(context.path)}/_index"
-        os.makedirs(at, exist_ok=True)
-        with open(f"{at}/{SORT_ORDER}.json", "w") as f:
-            json.dump(keys, f)
+        scan.write_text(f"{local(context.path)}/_index/{SORT_ORDER}.json", json.dumps(keys))
 
 
 def sort_order(path: str) -> list[dict] | None:
     """The sort keys kept for a dataset; None if there are none or they can't be read."""
     try:
-        with open(f"{local(path)}/_index/{SORT_ORDER}.json") as f:
-            return json.load(f)
+        return json.loads(_read_text(f"{local(path)}/_index/{SORT_ORDER}.json"))
     except (OSError, ValueError):
         return None
 
 
+def key_values(path: str) -> dict[str, str]:
+    """Key-values kept beside the files of a dataset."""
+    try:
+        return json.loads(_read_text(f"{local(path)}/_index/{KEY_VALUES}.json"))
+    except (OSError, ValueError):
+        return {}
+
+
+def set_key_values(path: str, values: Mapping[str, str | None]) -> dict[str, str]:
+    """Add or replace key-values of a dataset, None removes one; files stay as they are. Returns what is kept then."""
+    kept = {k: v for k, v in {**key_values(path), **values}.items() if v is not None}
+    scan.write_text(f"{local(path)}/_index/{KEY_VALUES}.json", json.dumps(kept, sort_keys=True))
+    return kept
+
+
 def find(file: str, kind: str, col: str, up: int = 6) -> str | None:
     """The index of a column in the nearest directory above a file that has one."""
     at = os.path.dirname(local(file))
     for _ in range(up):
         d = directory(at, kind, col)
-        if os.path.isdir(d):
+        if scan.exists(d):
             return d
         at = os.path.dirname(at)
     return None
 
 
+def _by_directory(files: Iterable[str], kind: str, col: str) -> dict[str, str | None]:
+    """:func:`find` for many files, looked for once a directory."""
+    return {d: find(f"{d}/x", kind, col) for d in {os.path.dirname(local(f)) for f in files}}
+
+
 class IndexPlanner:
     """Verdicts from term and bitmap indexes. Results of look-ups are kept while index and files are unchanged."""
 
@@ -170,7 +191,14 @@ class IndexPlanner:
         self.spark, self.terms, self.bitmaps = spark, terms, bitmaps
         self._kept = LruPlanCache(256)
 
-    identity = "indexes"
+    def stamp(self, files: Iterable[str], predicates: Iterable[Predicate]) -> tuple:
+        """What a plan from these indexes depends on: which there are, and their age."""
+        out = []
+        for p in predicates:
+            if self.can_plan(p):
+                kind = TERMS if isinstance(p, TokenMatch) else BITMAP
+                out += [(d, at, file_stamp(at) if at else None) for d, at in sorted(_by_directory(files, kind, p.columns()[0]).items())]
+        return (self.terms, self.bitmaps, tuple(out))
 
     def can_plan(self, p: Predicate) -> bool:
         if isinstance(p, TokenMatch):
@@ -178,21 +206,23 @@ class IndexPlanner:
         return self.bitmaps and isinstance(p, Compare) and p.op is Op.EQ and p.value is not None
 
     def _look_up(self, d: str, p: Predicate) -> tuple[dict, dict] | None:
-        """Row groups of each file that hold a matching key, with some of the keys, and the stamps indexed."""
-        key = repr((d, os.stat(d).st_mtime_ns, p.describe()))
+        """Row groups of each file that hold a matching key, with some of the keys, and the stamps indexed.
+
+        One row for each row group comes to the driver, as for its footers;
+        :meth:`files`, which queries run, gets one for each file.
+        """
+        key = repr((d, file_stamp(d), p.describe()))
         if (got := self._kept.get(key)) is not None:
             return got
         try:
-            df = self.spark.read.parquet(d)
-            if isinstance(p, TokenMatch):
-                p.check()
-                hit = F.col("value") == p.term if p.max_edits == 0 else within_edits(F.col("value"), p.term, p.max_edits, p.prefix_length, p.transpositions)
-            else:
-                hit = F.col("value") == formatted(F.lit(p.value), literal_type(self.spark, p.value))
-            stamps = {r[0]: (r[1], r[2]) for r in df.where("value IS NULL").select("file", "size", "mtime").distinct().collect()}
-            found: dict = defaultdict(lambda: defaultdict(list))
-            for r in df.where(hit).groupBy("file", "row_group").agg(F.slice(F.sort_array(F.collect_set("value")), 1, 8)).collect():
-                found[r[0]][r[1]] = r[2]
+            hit = self._hit(p)
+            df = self.spark.read.parquet(d).where(F.col("value").isNull() | hit)
+            keys = F.slice(F.sort_array(F.collect_set("value")), 1, 8)
+            found, stamps = {}, {}
+            for file, group, size, mtime, some in df.groupBy("file", "row_group").agg(F.max("size"), F.max("mtime"), keys).collect():
+                stamps[file] = (size, mtime)
+                if some:
+                    found.setdefault(file, {})[group] = some
         except Exception as e:
             if isinstance(e, ValueError):
                 raise
@@ -200,6 +230,38 @@ class IndexPlanner:
         self._kept.set(key, (found, stamps))
         return found, stamps
 
+    def _hit(self, p: Predicate) -> Column:
+        if isinstance(p, TokenMatch):
+            p.check()
+            return F.col("value") == p.term if p.max_edits == 0 else within_edits(F.col("value"), p.term, p.max_edits, p.prefix_length, p.transpositions)
+        return F.col("value") == formatted(F.lit(p.value), literal_type(self.spark, p.value))
+
+    def files(self, paths: list[str], p: Predicate) -> list[str]:
+        """Those of ``paths`` that may hold a match: files without a usable index, and files with an indexed match."""
+        kind = TERMS if isinstance(p, TokenMatch) else BITMAP
+        where = _by_directory(paths, kind, p.columns()[0])
+        known: dict[str, tuple[int, int, bool]] = {}
+        for d in {x for x in where.values() if x}:
+            key = repr(("files", d, file_stamp(d), p.describe()))
+            got = self._kept.get(key)
+            if got is None:
+                try:
+                    hit = self._hit(p)
+                    df = self.spark.read.parquet(d).where(F.col("value").isNull() | hit)
+                    got = {r[0]: (r[1], r[2], r[3]) for r in df.groupBy("file").agg(F.max("size"), F.max("mtime"), F.max(F.col("value").isNotNull())).collect()}
+                except ValueError:
+                    raise
+                except Exception:
+                    continue
+                self._kept.set(key, got)
+            known |= got
+        keep = []
+        for path in paths:
+            size, mtime, some = known.get(local(path), (None, None, True))
+            if some or file_stamp(path)[1:] != (size, mtime):
+                keep.append(path)
+        return keep
+
     def evaluate(self, file: str, group: int, p: Predicate) -> Decision | None:
         """A row group's verdict; None without a usable index."""
         kind = TERMS if isinstance(p, TokenMatch) else BITMAP
@@ -211,7 +273,7 @@ class IndexPlanner:
             return None
         found, stamps = got
         name = local(file)
-        _, size, mtime = file_stamp(name)
+        _, size, mtime = file_stamp(file)
         if stamps.get(name) != (size, mtime):
             return None
         keys = found.get(name, {}).get(group)
@@ -222,7 +284,8 @@ class IndexPlanner:
 
 def literal_type(spark: SparkSession, value) -> T.DataType:
     """The column type of a Python literal."""
-    return spark.range(1).select(F.lit(value).alias("v")).schema["v"].dataType
+    known = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType()}.get(type(value))
+    return known or spark.range(1).select(F.lit(value).alias("v")).schema["v"].dataType
 
 
 def entries(spark: SparkSession, path: str, kind: str, col: str, contains: str | None = None, offset: int = 0, limit: int | None = 100) -> DataFrame:

@@ -17,7 +17,9 @@ from siftlake.operators.predicates import col
 from siftlake.operators.query import Query
 from siftlake.operators.textlang import parse
 from siftlake.plans import indexes
+from siftlake.plans.cache import file_stamp
 from siftlake.sources import inspect as inspection
+from siftlake.sources import scan
 from siftlake.sources.pool import ReaderPool
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -264,6 +266,26 @@ _search("fuzzy_lev_k2", P.TokenMatch("text", "lisense", 2, 0, False), "levenshte
 _search("fuzzy_prefix", P.TokenMatch("text", "apachr", 1, 3, False), "starts_with(t, 'apa') AND levenshtein(substr(t, 4), 'chr') <= 1")
 _search("fuzzy_osa_k1", P.TokenMatch("text", "licesne", 1, 0, True), "damerau_levenshtein(t, 'licesne') <= 1")
 _search("fuzzy_prefix_is_term", P.TokenMatch("text", "token", 1, 5, True), "starts_with(t, 'token') AND length(t) <= 6")
+for _op, _value, _extra, _sql in (
+    ("TokenMatch", "License", {}, "t = 'license'"),
+    ("TokenFuzzy", "licnse", {"max_edits": 1, "transpositions": False}, "levenshtein(t, 'licnse') <= 1"),
+    ("tokenfuzzy", "apachr", {"max_edits": 1, "prefix_length": 3, "transpositions": False}, "starts_with(t, 'apa') AND levenshtein(substr(t, 4), 'chr') <= 1"),
+):
+    _register(
+        f"dynamic_{'token_match' if _op == 'TokenMatch' else 'token_fuzzy' if _op == 'TokenFuzzy' else 'token_fuzzy_prefix'}",
+        lambda s, d, p=DynamicPredicate("text", _op, _value, **_extra): _dynamic(s, d, "documents").where(p).dataframe().select("doc_id"),
+        f"SELECT doc_id FROM documents WHERE len(list_filter({_SQL_TOKENS.format('text')}, lambda t: {_sql})) > 0",
+    )
+_register(
+    "strict_query",
+    lambda s, d: _query(s, d, "orders").where((col("o_orderstatus") == "F") & (col("o_totalprice") >= 150000.0)).strict_pushdown().select("o_orderkey").dataframe(),
+    "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 150000",
+)
+_register(
+    "page_with_total",
+    lambda s, d: s.createDataFrame([(r["o_orderkey"], got.total) for got in [_dynamic(s, d, "orders").where(_PAGE).execute(20, 10)] for r in got.rows], "o_orderkey long, total long"),
+    "SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10 OFFSET 20",
+)
 _register(
     "fuzzy_osa_k2",
     lambda s, d: _query(s, d, "documents").pushdown(P.TokenMatch("text", "liecsne", 2, 0, True)).select("doc_id").dataframe(),
@@ -279,15 +301,21 @@ _register(
 # Written datasets: indexes, partitions, plans. They go to the shared folder, once for each input.
 
 
-def _place(spark: SparkSession, sf_dir: str, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/siftlake-{os.getpid()}"
-    return f"{base.removeprefix('file://')}/siftlake-{what}-{hashlib.sha256(os.path.abspath(sf_dir).encode()).hexdigest()[:12]}"
+def _place(spark: SparkSession, sf_dir: str, what: str, table: str) -> str:
+    """A folder of the shared one, named by the table's path, size and time: a changed table gets another."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file:///tmp/siftlake-{os.getpid()}"
+    stamp = repr(file_stamp(scan.absolute(f"{sf_dir}/{table}.parquet")))
+    return f"{base.removeprefix('file://')}/siftlake-{what}-{hashlib.sha256(stamp.encode()).hexdigest()[:12]}"
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> str:
     """Parts sorted by brand, in four files of small row groups, with a bitmap and a term index."""
-    path = _place(spark, sf_dir, "parts")
-    if not os.path.exists(f"{path}/_index/terms/p_name/_SUCCESS"):
+    path = _place(spark, sf_dir, "parts", "part")
+    if not scan.exists(f"{path}/_index/terms/p_name/_SUCCESS"):
         df = spark.read.parquet(f"{sf_dir}/part.parquet").repartitionByRange(4, "p_brand").sortWithinPartitions("p_brand", "p_partkey")
         options = {"parquet.block.row.count.limit": "200", "parquet.page.row.count.limit": "50", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
         df.write.mode("overwrite").options(**options).parquet(path)
@@ -324,8 +352,8 @@ _register(
 
 
 def _partitioned(spark: SparkSession, sf_dir: str) -> str:
-    path = _place(spark, sf_dir, "nations")
-    if not os.path.exists(f"{path}/_SUCCESS"):
+    path = _place(spark, sf_dir, "nations", "nation")
+    if not scan.exists(f"{path}/_SUCCESS"):
         spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("Region", F.col("n_regionkey")).coalesce(1).write.mode("overwrite").partitionBy("Region").parquet(path)
     return path
 

@@ -3,7 +3,8 @@
 Spark decrypts through a key-management client on the JVM class path, named
 by ``parquet.encryption.kms.client.class``; keys themselves can't be handed
 over from Python. The settings here become Hadoop options of the read; with
-keys but without a client an error says so.
+keys but without a client an error says so, and so does an AAD prefix, for
+which that reader has no setting.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from siftlake.plans.cache import identity
+from siftlake.sources import scan
+
 _SIZES = (16, 24, 32)
 
 
@@ -37,7 +41,7 @@ def normalise_key(text: str) -> bytes:
 
 def is_encrypted_footer(path: str) -> bool:
     """Whether the file ends in the mark of an encrypted footer."""
-    with open(path, "rb") as f:
+    with scan.opened(path) as f:
         f.seek(-4, 2)
         return f.read(4) == b"PARE"
 
@@ -54,7 +58,7 @@ class Encryption:
 
     @property
     def wanted(self) -> bool:
-        return bool(self.footer_key or self.footer_signing_key or self.column_key)
+        return bool(self.footer_key or self.footer_signing_key or self.column_key or self.aad_prefix)
 
     def options(self, columns: list[str] = ()) -> dict[str, str]:
         """Settings of the properties-driven crypto factory; keys are names that the client resolves."""
@@ -75,10 +79,12 @@ class Encryption:
         return out
 
     def fingerprint(self) -> str:
-        parts = (self.footer_key, self.footer_signing_key, self.plaintext_footer, self.aad_prefix, self.aad_out_of_band, self.ctr_variant, id(self.column_key) if self.column_key else None)
+        parts = (self.footer_key, self.footer_signing_key, self.plaintext_footer, self.aad_prefix, self.aad_out_of_band, self.ctr_variant, identity(self.column_key) if self.column_key else None)
         return hashlib.sha256(repr(parts).encode()).hexdigest()
 
     def require_client(self, spark) -> None:
+        if self.aad_prefix:
+            raise RuntimeError("Spark's Parquet reader can't be given an AAD prefix: its key-management factory has no setting for one")
         conf = spark._jsc.hadoopConfiguration()
         if self.wanted and not conf.get("parquet.encryption.kms.client.class"):
             raise RuntimeError("encrypted files need a key-management client: set spark.hadoop.parquet.encryption.kms.client.class to a class on the class path")

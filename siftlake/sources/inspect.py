@@ -49,7 +49,8 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def key_values(path: str) -> dict[str, str]:
-    return footers.read(path).key_values
+    """Key-values of a file's footer, and those kept beside the dataset, which win."""
+    return footers.read(path).key_values | indexes.key_values(os.path.dirname(scan.local(path)))
 
 
 @dataclass(frozen=True)
@@ -62,13 +63,12 @@ class IndexInfo:
 def index_listing(path: str) -> list[IndexInfo]:
     """Sidecar indexes of a dataset directory, and what the files themselves have."""
     out = []
-    base = os.path.join(scan.local(path), "_index")
     for kind in (indexes.BITMAP, indexes.TERMS):
-        at = os.path.join(base, kind)
-        if os.path.isdir(at):
-            out += [IndexInfo(kind, c.replace(".", "/").replace("%25", "%")) for c in sorted(os.listdir(at)) if not c.startswith((".", "_"))]
+        at = f"{scan.local(path)}/_index/{kind}"
+        out += [IndexInfo(kind, c.replace(".", "/").replace("%25", "%")) for c in scan.names(at) if not c.startswith((".", "_"))]
     out += [IndexInfo(indexes.SORT_ORDER, k["path"], k["direction"]) for k in indexes.sort_order(path) or []]
-    files = [path] if os.path.isfile(scan.local(path)) else [os.path.join(d, f) for d, _, fs in os.walk(scan.local(path)) for f in sorted(fs) if f.endswith(".parquet") and "/_" not in d]
+    spark = SparkSession.getActiveSession()
+    files = scan.list_directory(spark, path) if spark and not path.endswith(".parquet") else [path] if os.path.isfile(scan.local(path)) else [os.path.join(d, f) for d, _, fs in os.walk(scan.local(path)) for f in sorted(fs) if f.endswith(".parquet") and "/_" not in d]
     seen = set()
     for f in files:
         for g in footers.read(f).groups:

@@ -69,6 +69,18 @@ def test_edits_against_brute_force(spark):
     assert X.edit_distance("ca", "abc") == 3 and X.edit_distance("ab", "ba") == 1 and X.edit_distance("ab", "ba", False) == 2
 
 
+def test_matches_of_whole_texts_against_brute_force(spark):
+    """The condition on whole texts that comes first loses no match."""
+    random.seed(4)
+    letters = "abcd"
+    texts = [" ".join("".join(random.choice(letters) for _ in range(random.randint(1, 6))) for _ in range(random.randint(0, 4))) for _ in range(150)] + [None, "", "ABCD-abdc", "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for term, k, prefix, swap in (("abcd", 0, 0, True), ("abcd", 1, 0, True), ("abcd", 1, 0, False), ("abcdab", 2, 0, True), ("abcdab", 2, 0, False), ("abcda", 2, 2, True), ("ab", 2, 0, True), ("abc", 1, 3, True)):
+        match = P.TokenMatch("t", term, k, prefix, swap)
+        got = {r.i for r in df.where(match.to_column()).collect()}
+        assert got == {i for i, t in enumerate(texts) if any(match.matches_term(x) for x in X.analyse(t))}, (term, k, prefix, swap)
+
+
 DATA = [(1, "DE", "alpha", 10), (2, "US", "bravo", 20), (3, "DE", "gamma", 15), (4, "US", "delta", 30)]
 
 

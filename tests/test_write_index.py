@@ -134,12 +134,89 @@ def test_keys(tmp_path):
 
 def test_encryption_needs_a_client(spark, tmp_path):
     f = people(spark, tmp_path / "a", [1])
-    q = Query.from_file(spark, f).with_footer_key("k").use_plaintext_footer().use_ctr_variant().with_aad_prefix("p").with_column_key_resolver(lambda c: "c1" if c == "Name" else None)
+    q = Query.from_file(spark, f).with_footer_key("k").use_plaintext_footer().use_ctr_variant().with_column_key_resolver(lambda c: "c1" if c == "Name" else None)
     options = q.encryption.options(["Name", "Age"])
     assert options["parquet.encryption.column.keys"] == "c1:Name" and options["parquet.encryption.algorithm"] == "AES_GCM_CTR_V1"
     with pytest.raises(RuntimeError, match="key-management"):
         q.to_list()
     assert dataclasses.replace(q.encryption).fingerprint() == q.encryption.fingerprint()
+    with pytest.raises(RuntimeError, match="AAD"):
+        q.with_aad_prefix("p").to_list()
+
+
+def test_column_keys_reach_the_reader(spark, tmp_path, monkeypatch):
+    f = people(spark, tmp_path / "a", [1])
+    seen = []
+    monkeypatch.setattr(encryption.Encryption, "require_client", lambda *_: None)
+    q = Query.from_file(spark, f).with_column_key_resolver(lambda c: "k1" if c in ("Name", "Age") else None)
+    q.with_reader_factory(lambda s, paths, options: seen.append(dict(options)) or s.read.parquet(*paths)).source()
+    assert seen[-1]["parquet.encryption.column.keys"] == "k1:Name,Age"
+
+
+def test_pool_holds_its_lease_while_a_query_runs(spark, tmp_path):
+    f = people(spark, tmp_path / "a", [1, 2, 3])
+    pool = ReaderPool(1, capacity=1)
+    q = Query.from_file(spark, f).with_reader_pool(pool)
+    rows = q.to_iterator()
+    next(rows)
+    blocked = threading.Event()
+
+    def replace_it():
+        with pool.block(spark, f):
+            blocked.set()
+
+    t = threading.Thread(target=replace_it)
+    t.start()
+    assert not blocked.wait(0.3)  # the open iterator drains first
+    assert len(list(rows)) == 2
+    assert blocked.wait(30)
+    t.join(30)
+    assert not pool._out and not pool._holders
+    pool.prewarm(spark, people(spark, tmp_path / "b", [1]), n=1)
+    assert len(pool._frames) == 1
+    with pytest.raises(ValueError):
+        pool.prewarm(spark, f, n=2)
+
+
+def test_plan_cache_sees_new_indexes_and_other_factories(spark, tmp_path):
+    at = str(tmp_path / "d")
+    write(spark, ROWS, at, Row, (), files=1)
+    q = Query.from_directory(spark, at).with_indexes().pushdown(lambda b: b.eq("Group", "bz"))
+    assert [g.selected for g in q.plan().files[0].groups] == [True, True]
+    indexes.build_bitmap(spark, at, "Group")
+    assert [g.selected for g in q.plan().files[0].groups] == [False, False] and q.to_list() == []
+    keys = set()
+    for _ in range(50):
+        keys.add(q.with_reader_factory(lambda s, p, o: s.read.parquet(*p))._key("plan"))
+    assert len(keys) == 50
+    assert q.with_reader_pool(pool := ReaderPool())._key("plan") == q.with_reader_pool(pool)._key("plan")
+
+
+def test_files_by_hadoop_file_system(spark, tmp_path, monkeypatch):
+    from siftlake.plans import cache
+    from siftlake.sources import scan
+
+    at = str(tmp_path / "d d")
+    write(spark, ROWS, at, Row, STRATEGIES, files=1)
+    path = next(os.path.join(at, x) for x in os.listdir(at) if x.endswith(".parquet"))
+    want = footer.read(path), cache.file_stamp(path)[1], indexes.sort_order(at), scan.names(at)
+    monkeypatch.setattr(scan, "is_local", lambda p: False)
+    got = footer.read(path), cache.file_stamp(path)[1], indexes.sort_order(at), scan.names(at)
+    assert got[:3] == want[:3] and set(got[3]) == {n for n in want[3] if not n.endswith(".crc")}
+    assert indexes.set_key_values(at, {"a": "1", "b": "2"}) == {"a": "1", "b": "2"} and indexes.set_key_values(at, {"a": None}) == {"b": "2"}
+    assert inspect.key_values(path)["b"] == "2" and not scan.exists(at + "/nope")
+
+
+def test_pages_of_several_files(spark, tmp_path):
+    from siftlake.operators.dynamic import DynamicPredicate, DynamicQuery
+
+    files = [people(spark, tmp_path / x, ages) for x, ages in (("a", [1, 2, 3]), ("b", [4]), ("c", [5, 6, 7, 8]))]
+    q = DynamicQuery.from_path(spark, files).where(DynamicPredicate("Age", "ge", "2"))
+    for offset in range(8):
+        assert [r["Age"] for r in q.page(offset, 3).collect()] == list(range(2, 9))[offset : offset + 3]
+    first = Query.from_files(spark, files)
+    assert first.where(col("Age") > 3).select("Age").first_or_default()[0] == 4 and first.where(col("Age") > 9).first_or_default() is None
+    assert first.count() == 8
 
 
 def test_inspection(spark, tmp_path):
