@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -281,15 +281,30 @@ def mix(
     return rows.withColumn("rate", rates.rate([F.col(f"`{n}`") for n in names])), model, rates
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated, and written in plans, once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def with_rates(docs: DataFrame, model: Classifier, rates: Rates, text: str = "text") -> DataFrame:
-    """``docs`` with ``rate``, without a join: the rate is a function of the row."""
+    """``docs`` with ``rate`` (which replaces a column of that name), without a join: the rate is a function of the row."""
     soft = model.posteriors(F.col("__m"), {c: F.col(c) for c in model.categories})
-    names = [f"__p{i}" for i in range(len(soft))]
-    out = docs.withColumn("__m", measures(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns if c != "rate"], *[p.alias(n) for p, n in zip(soft, names, strict=True)])
-    return out.withColumn("rate", rates.rate([F.col(n) for n in names])).drop(*names)
+    out = docs.withColumn("__m", measures(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns if c != "rate"], F.array(*soft).alias("__p"))
+    rate = _once(F.col("__p"), lambda p: rates.rate([p[i] for i in range(len(soft))]))
+    return out.withColumn("rate", rate).drop("__p")
 
 
-def with_copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``copies``: the rate rounded up or down by a hash of the row, so that its expectation is the rate."""
+def with_copies(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: str = "text", zero: bool = True) -> DataFrame:
+    """``docs`` with ``copies``: the rate rounded up or down by a hash of the row, so that its expectation is the rate.
+
+    Without ``zero`` rows of no copies are left out, by a generator and not
+    by a condition, which the optimizer would work out a second time below.
+    A column called copies is replaced.
+    """
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    copies = lambda r: (F.floor(r) + (u < r - F.floor(r)).cast("int")).cast("int")
+    if zero:
+        return docs.withColumn("copies", _once(F.col("rate"), copies))
+    both = _once(F.col("rate"), lambda r: F.struct(r.alias("rate"), copies(r).alias("copies")))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("rate", "copies")]
+    return docs.select(*rest, F.inline(F.filter(F.array(both), lambda x: x["copies"] > 0)))
