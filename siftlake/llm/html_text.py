@@ -31,15 +31,19 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_BREAKS = frozenset(("br", "wbr", "hr", "img", "input"))
+_BREAKS = frozenset(("br", "hr"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("nav header footer aside form menu dialog button head".split())
+#: Words of a class or id that mark an element of any kind as none of the text.
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side aside widget nav navbar navigation menu menubar breadcrumb"
-    " breadcrumbs header masthead banner footer foot comment comments reply replies respond disqus discussion cookie cookies consent notice notices alert gdpr popup"
-    " modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar search hidden".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer"
+    " comment comments disqus cookie cookies consent notice notices gdpr popup modal newsletter subscribe pagination pager hidden".split()
 )
-_MAIN_WORDS = frozenset("article main post entry story content".split())
+#: Words that a paragraph of the text may bear too: they mark boxes only.
+_BOX_WORDS = frozenset(
+    "promotion side aside widget header banner foot reply replies respond discussion alert overlay subscription signup login share sharing social related recommended toolbar search".split()
+)
+_BOXES = frozenset("div section ul ol dl table tbody fieldset figure details center dir".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Elements that a new one of these (or any block, for p) ends without an end tag.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -62,7 +66,7 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
                 parts = set(re.split(r"[\s_-]+", value))
-                skip |= not main and not parts.isdisjoint(_WORDS)
+                skip |= not main and (not parts.isdisjoint(_WORDS) or (name in _BOXES and not parts.isdisjoint(_BOX_WORDS)))
             elif key == "role":
                 skip |= value in _ROLES
                 main |= value in ("main", "article")
@@ -77,6 +81,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     piece: list[str] = []
     links = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, skipped from here, main from here
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    blocks: list[int] = []  # places of block elements in the stack
     skipping = mains = anchors = 0
 
     def end() -> None:
@@ -91,7 +97,9 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         nonlocal skipping, mains, anchors
         while len(stack) > at:
             name, skip, main = stack.pop()
+            places[name].pop()
             if name in _BLOCKS:
+                blocks.pop()
                 end()
             skipping -= skip
             mains -= main
@@ -115,8 +123,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             continue
         name = name.lower()
         if m[2]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if found >= 0 and (name in _BLOCKS or not any(n in _BLOCKS for n, *_ in stack[found + 1 :])):
+            found = places[name][-1] if places.get(name) else -1
+            if found >= 0 and (name in _BLOCKS or not blocks or blocks[-1] < found):
                 pop(found)
             elif name in _BLOCKS:
                 end()
@@ -125,16 +133,16 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             piece.append(" ")
         if name in _BLOCKS:
             end()
-            over = _CLOSES.get(name, ()) + ("p",)
-            if stack and any(n == o for n, *_ in stack for o in over):
-                top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in over or (stack[i][0] in _BLOCKS and stack[i][0] not in over)), -1)
-                if top >= 0 and stack[top][0] in over:
-                    pop(top)
+            if blocks and stack[blocks[-1]][0] in (*_CLOSES.get(name, ()), "p"):
+                pop(blocks[-1])
         if name in _VOID or m[4].endswith("/"):
             continue
         skip, main = _marks(name, m[4])
         if skip and not skipping and name in _BLOCKS:
             out.append(("", 0, False))
+        places.setdefault(name, []).append(len(stack))
+        if name in _BLOCKS:
+            blocks.append(len(stack))
         stack.append((name, skip, main and not skip))
         skipping += skip
         mains += main and not skip
@@ -188,8 +196,9 @@ def main_text(html: str | None, how: Distribution = Distribution()) -> str:
 def extract(pages: DataFrame, how: Distribution = Distribution(), html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars`` (code points) of its main text.
 
-    Each row is worked on by itself; repeated rows stay. A column of the
-    input called text or n_chars is replaced.
+    Each row is worked on by itself; repeated rows stay, a null or empty
+    page has an empty text, an empty table gives an empty one. A column of
+    the input called text or n_chars is replaced.
     """
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     given = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(html).alias("html"))
