@@ -117,6 +117,22 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: All pairs of a label, and what is reachable from each vector.
+OP9_SQL = r"""
+WITH RECURSIVE
+e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+  SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (SELECT vec_id, vec_id AS other FROM e UNION SELECT reached.vec_id, links.b FROM reached JOIN links ON links.a = reached.other)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM reached LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = vec_id GROUP BY vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -133,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontaminate.SQL, "op10_chat_format": OP10_SQL}
+    return {"op7_decontaminate": decontaminate.SQL, "op9_embedding_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
