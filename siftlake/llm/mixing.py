@@ -4,8 +4,8 @@ A labelled table trains a naive Bayes classifier (normal densities of a few
 measures of the text, frequencies of categories) whose posteriors are soft
 memberships in domains. Nonnegative rates of the documents are then fitted
 by projected-gradient least squares so that the expected token totals of
-the domains match the targets. A step only needs the totals by domain,
-summed by Spark; the rate of a document is a function of its posteriors, so
+the domains match the targets. A step only needs totals and a matrix of
+the size of the domains, summed by Spark; the rate of a document is a function of its posteriors, so
 nothing per document reaches the driver.
 """
 
@@ -16,6 +16,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +127,8 @@ def classifier(rows: DataFrame, domain: str, categories: tuple[str, ...] = (), d
 class Rates:
     """The gradient steps that lead to the rates; :meth:`rate` is a function of the posteriors.
 
-    ``converged`` tells whether half the squared residual is proven to be
-    within the tolerance of the least possible; ``gap`` is that proof's bound.
+    ``gap`` bounds how far half the squared residual is from the least
+    possible; ``converged`` tells whether that is within the tolerance.
     """
 
     steps: tuple[tuple[float, ...], ...]
@@ -137,44 +138,47 @@ class Rates:
     gap: float = 0.0
     converged: bool = True
 
-    def rate(self, posteriors: list[Column], start: Column | None = None, zero: Column | None = None) -> Column:
-        r = F.lit(self.start) if start is None else start
-        if len(self.steps) <= _FOLD:
-            for step in self.steps:
-                r = _stepped(r, posteriors, _numbers(step, zero))
-            return r
-        taken = F.array(*[F.array(*[F.lit(x) for x in step]) for step in self.steps])
-        return F.aggregate(taken, r, lambda r, step: _stepped(r, posteriors, [step[i] for i in range(len(posteriors))]))
-
-
-#: Steps that are unrolled in one expression.
-_FOLD = 16
+    def rate(self, posteriors: list[Column], zero: Column | None = None) -> Column:
+        r = F.lit(self.start)
+        for step in self.steps:
+            r = _stepped(r, posteriors, _numbers(step, zero))
+        return r
 
 
 def _numbers(values: Sequence[float], zero: Column | None) -> list[Column]:
     """Numbers as literals; with a column of zeros as items of an array, which generated code takes from outside: other numbers then need no other code."""
     if zero is None:
-        return [F.lit(x) for x in values]
+        return [F.lit(float(x)) for x in values]
     held = F.array(*[F.lit(float(x)) for x in values])
     return [F.get(held, zero + i) for i in range(len(values))]
 
 
+def _along(posteriors: list[Column], step: list[Column]) -> Column:
+    return sum((p * s for p, s in zip(posteriors[1:], step[1:], strict=True)), posteriors[0] * step[0])
+
+
 def _stepped(r: Column, posteriors: list[Column], step: list[Column]) -> Column:
-    return F.greatest(r - sum((p * s for p, s in zip(posteriors[1:], step[1:], strict=True)), posteriors[0] * step[0]), F.lit(0.0))
+    return F.greatest(r - _along(posteriors, step), F.lit(0.0))
 
 
-def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[float], factor: float = 1.0, steps: int = 400, tolerance: float = 1e-9) -> Rates:
+def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[float], factor: float = 1.0, passes: int = 80, tolerance: float = 1e-6) -> Rates:
     """Rates of ``rows`` whose expected token totals by domain match ``weights`` of ``factor`` times all tokens.
 
-    Projected gradient from equal rates. The gradient of a document's rate,
-    in units of its tokens, is its posteriors times the residual; rates move
-    against it and are cut off at zero. Step lengths are spectral (from the
-    last two gradients); a step that doesn't lower the largest of the last
-    residuals is halved, down to the length that always does. Targets out of
-    reach get the least-squares fit: the fit ends when the duality gap is
-    under ``tolerance`` times half the squared target, or after ``steps``
-    passes over the rows, and says which. Null tokens count 0, null
-    posteriors 0; no tokens give equal rates.
+    Projected gradient from equal rates, by implicit steps. The gradient of
+    a document's rate, in units of its tokens, is its posteriors times the
+    residual; a step moves all rates against it, cuts them off at zero, and
+    takes the residual that it leads to, not the one it starts from: an
+    explicit step must be short where domains nearly coincide and needs
+    thousands of passes. That residual has as many numbers as there are
+    domains; a damped Newton search finds it, a pass over the rows for each
+    trial. Steps get a hundred times longer each.
+
+    Targets out of reach get the least-squares fit. The fit ends when the
+    residual is under ``tolerance`` of the target, when the duality gap
+    proves half its square within a hundredth of ``tolerance`` of the least
+    in units of half the squared target, or after ``passes``; ``converged``
+    and ``gap`` say which. Null tokens count 0, null posteriors 0; no tokens
+    give equal rates.
     """
     k = len(posteriors)
     names = [f"__p{i}" for i in range(k)]
@@ -182,72 +186,65 @@ def fit_rates(rows: DataFrame, n: str, posteriors: list[str], weights: list[floa
     given = rows.select(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("__n"), *[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).alias(q) for p, q in zip(posteriors, names, strict=True)])
     given = given.where("__n > 0").withColumn("__zero", F.when(F.col("__n") > 0, 0).otherwise(1))
     zero = F.col("__zero")
-    square = [F.sum(F.col("__n") * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
-    first = given.agg(F.sum("__n"), *[F.sum(F.col("__n") * p) for p in cols], *square).first()
-    tokens, whole = float(first[0] or 0), sum(weights)
-    goal = [w / whole * tokens * factor if whole > 0 else 0.0 for w in weights]
+    tokens, whole = float(given.agg(F.sum("__n")).first()[0] or 0), sum(weights)
+    goal = np.array([w / whole * tokens * factor if whole > 0 else 0.0 for w in weights])
     if tokens <= 0:
-        return Rates((), float(factor), (0.0,) * k, tuple(goal))
-    totals = [factor * t for t in first[1 : k + 1]]
-    # The trace bounds the largest eigenvalue of the Gram matrix: a step of its inverse always lowers the residual.
-    up, trace = iter(first[k + 1 :]), 0.0
-    for i in range(k):
-        for j in range(i, k):
-            g = next(up)
-            trace += g if i == j else 0.0
-    least = 1 / max(trace, 1e-300)
-    lost = lambda t: sum((a - b) ** 2 for a, b in zip(t, goal, strict=True))
-    bound = tolerance * max(sum(g * g for g in goal), 1e-300)
-
-    taken: list[tuple[float, ...]] = []
-    base, from_base, start = given, [], None
-
-    def tried(step: tuple[float, ...], residual: list[float]) -> tuple[list[float], float, float]:
-        """Totals after a step; the moved rates' squared norm in tokens; the least gradient of any document."""
-        before = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start, zero)
-        at = base.select("*", before.alias("__r")).select("*", _stepped(F.col("__r"), cols, _numbers(step, zero)).alias("__s"))
-        held = _numbers(residual, zero)
-        slope = sum((p * x for p, x in zip(cols[1:], held[1:], strict=True)), cols[0] * held[0])
-        move = F.col("__s") - F.col("__r")
-        got = at.agg(*[F.sum(F.col("__s") * F.col("__n") * p) for p in cols], F.sum(F.col("__n") * move * move), F.min(slope)).first()
-        return list(got[:k]), got[k], got[k + 1]
-
-    best, best_lost, gap = 0, lost(totals), math.inf
-    best_totals, recent = totals, [lost(totals)]
-    length = least
-    written_rates: DataFrame | None = None
-    for _ in range(steps):
-        residual = [t - g for t, g in zip(totals, goal, strict=True)]
-        while True:
-            step = tuple(length * x for x in residual)
-            after, moved, low = tried(step, residual)
-            if lost(after) <= max(recent[-8:]) - 1e-4 * moved / length or length <= least:
+        return Rates((), float(factor), (0.0,) * k, tuple(goal.tolist()))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    left = passes
+
+    def moved(taken: list[np.ndarray], step: np.ndarray, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """After a step: totals, the Gram matrix of documents still used, their squared rates by tokens; the least gradient of any document."""
+        nonlocal left
+        left -= 1
+        before = Rates(tuple(tuple(s.tolist()) for s in taken), float(factor), (), ()).rate(cols, zero)
+        at = given.select("*", before.alias("__r")).select("*", _stepped(F.col("__r"), cols, _numbers(step.tolist(), zero)).alias("__s"))
+        on = F.when(F.col("__s") > 0, F.col("__n")).otherwise(0.0)
+        got = at.agg(
+            *[F.sum(F.col("__s") * F.col("__n") * p) for p in cols], *[F.sum(on * cols[i] * cols[j]) for i, j in pairs],
+            F.sum(F.col("__n") * F.col("__s") * F.col("__s")), F.min(_along(cols, _numbers(residual.tolist(), zero))),
+        ).first()
+        gram = np.zeros((k, k))
+        for (i, j), g in zip(pairs, got[k : k + len(pairs)], strict=True):
+            gram[i, j] = gram[j, i] = g
+        return np.array(got[:k]), gram, got[-2], got[-1]
+
+    taken: list[np.ndarray] = []
+    totals, gram, squares, _ = moved(taken, np.zeros(k), np.zeros(k))
+    weight = 1e-3 * np.trace(gram) / k  # one over the length of a step
+    least, size = 1e-15 * np.trace(gram), float(np.linalg.norm(goal)) or 1.0
+    gap, lost = math.inf, float(np.linalg.norm(totals - goal))
+    while lost > tolerance * size and left > 1 and weight > least:
+        u, value = np.zeros(k), squares / 2
+        while left > 1:
+            slope = weight * u + goal - totals
+            if np.linalg.norm(slope) <= 1e-3 * tolerance * size:
+                break
+            way, scale = -np.linalg.solve(gram + weight * np.eye(k), slope), 1.0
+            while True:
+                to = u + scale * way
+                tried = moved(taken, to, to)
+                after = weight / 2 * to @ to + to @ goal + tried[2] / 2
+                if after <= value + 1e-4 * scale * (slope @ way) or scale < 1e-6 or left < 1:
+                    break
+                scale /= 2
+            done = value - after <= 1e-14 * abs(value)
+            u, value, (totals, gram, squares, _) = to, after, tried
+            if done:
                 break
-            length = max(length / 4, least)
+        taken.append(u)
+        residual = totals - goal
         # Posteriors add up to 1, so raising the residual by its worst slope makes it feasible for the dual problem.
-        dual = [x + max(0.0, -low) for x in residual]
-        gap = sum(x * x for x in residual) / 2 + sum(x * x for x in dual) / 2 + sum(x * g for x, g in zip(dual, goal, strict=True))
-        if gap <= bound / 2:
-            best, best_totals = len(taken), totals
-            break
-        change = [b - a for a, b in zip(totals, after, strict=True)]
-        bend = sum(c * c for c in change)
-        taken.append(step)
-        from_base.append(step)
-        totals = after
-        recent.append(lost(totals))
-        if recent[-1] < best_lost:
-            best, best_lost, best_totals = len(taken), recent[-1], totals
-        if moved <= 0:
+        low = moved(taken, np.zeros(k), residual)[3]
+        dual = residual + max(0.0, -low)
+        gap = float(residual @ residual / 2 + dual @ dual / 2 + dual @ goal)
+        lost = float(np.linalg.norm(residual))
+        if gap <= tolerance / 100 * size * size / 2:
             break
-        length = min(max(moved / bend if bend > 0 else least, least), least * 1e12)
-        if len(from_base) >= _FOLD:  # rates so far go to the shared folder, so that an expression stays short
-            start_rate = Rates(tuple(from_base), float(factor), (), ()).rate(cols, start, zero)
-            old, written_rates = written_rates, written(base.select("__n", "__zero", *names, start_rate.alias("__start")), "rates")
-            forget(old)
-            base, start, from_base = written_rates, F.col("__start"), []
-    forget(written_rates)
-    return Rates(tuple(taken[:best]), float(factor), tuple(best_totals), tuple(goal), gap, gap <= bound / 2)
+        weight /= 100
+    gap = min(gap, lost * lost / 2)
+    met = lost <= tolerance * size or gap <= tolerance / 100 * size * size / 2
+    return Rates(tuple(tuple(s.tolist()) for s in taken), float(factor), tuple(totals.tolist()), tuple(goal.tolist()), gap, met)
 
 
 def mix(
