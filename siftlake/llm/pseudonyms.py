@@ -29,6 +29,8 @@ PATTERNS = (
     ("card", rf"{_EDGE}[0-9](?:[ -]?[0-9]){{12,63}}{_END}"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: How a card is grouped that stands in a longer row of digits.
+_CARD_SHAPE = "^[ -]?(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,4}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 ROUNDS = 10
 #: Days of 1900-2099: 73,049 = 17 * 4,297.
 _DAYS = (17, 4297)
@@ -188,7 +190,7 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """The match as one card, or else the longest runs of its groups that are cards, from the left."""
+    """The match as one card, or else the longest runs of its groups that are cards in their usual groups, from the left."""
 
     def card(shape: Column, d: Column) -> Column:
         head = F.substring(d, F.lit(1), F.length(d) - 1)
@@ -202,7 +204,7 @@ def _card(m: Column, key: str) -> Column:
 
         def step(s: Column, i: Column) -> Column:
             lengths = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
-            found = F.array_max(F.filter(lengths, lambda n: _once(_only_digits(run(i, n)), valid)))
+            found = F.array_max(F.filter(lengths, lambda n: _once(run(i, n), lambda v: v.rlike(_CARD_SHAPE) & _once(_only_digits(v), valid))))
             taken = lambda n: F.when(n.isNull(), F.struct((i + 1).alias("at"), F.concat(s["out"], F.get(groups, i)).alias("out"))).otherwise(
                 F.struct((i + n).alias("at"), F.concat(s["out"], card(run(i, n), _only_digits(run(i, n)))).alias("out"))
             )
