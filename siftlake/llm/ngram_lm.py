@@ -73,6 +73,22 @@ def _firsts(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, some place of each, and which of them each key is."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = _firsts([ordered])
+    which = np.empty(len(key), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return ordered[first], order[first], which
+
+
+def _grouped(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by partition, each partition's in order, and where the next one begins."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    return order, np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+
+
 def _sums(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sorted hashes of the distinct rows of ``columns``, these rows, and the sums of ``values`` over each, in 64 bits."""
     key = _fold(columns)
@@ -86,28 +102,33 @@ def _sums(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarr
 def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct rows and how often each occurs."""
     if len(columns) == 1:
-        (key, often) = np.unique(columns[0], return_counts=True)
+        key, often = np.unique(columns[0], return_counts=True)
         return [key], often
     distinct = np.unique(np.concatenate([np.unique(c) for c in columns]))
     n = len(distinct)
-    if n ** len(columns) < 1 << 63:  # one number a row, in the order of rows
+    if n ** len(columns) < 1 << 63:
         key = np.zeros(len(columns[0]), np.int64)
         for c in columns:
             key = key * n + np.searchsorted(distinct, c)
-        key.sort()
-        first = _firsts([key])
-        often = np.diff(np.append(first, len(key)))
-        key, rows = key[first], []
-        for _ in columns:
-            rows.append(distinct[key % max(1, n)])
-            key //= max(1, n)
-        return rows[::-1], often
+        return _unpacked(key, distinct, len(columns))
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     first = _firsts(columns)
     return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
+def _unpacked(key: np.ndarray, words: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows and their counts, of rows that are one number each, in the order of rows."""
+    key.sort()
+    first = _firsts([key])
+    often = np.diff(np.append(first, len(key)))
+    key, rows = key[first], []
+    for _ in range(order):
+        rows.append(words[key % max(1, len(words))])
+        key //= max(1, len(words))
+    return rows[::-1], often
+
+
 def _squeeze(columns: list[np.ndarray]) -> bytes:
     """Columns of nonnegative integers as compressed planes of bytes, the first one by its differences: small where it is sorted."""
     n = len(columns[0])
@@ -202,7 +223,7 @@ def _save(path: str, **arrays: np.ndarray) -> None:
 def _mapped(path: str) -> dict[str, np.ndarray] | None:
     if not os.path.exists(path):
         return None
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))  # without the class, whose slices take long
     size = int(raw[:8].view("<u8")[0])
     out = {}
     for name, (kind, shape, at) in json.loads(raw[8 : 8 + size].tobytes()).items():
@@ -226,14 +247,16 @@ def _find(path: str, key: np.ndarray, width: int) -> np.ndarray:
     bits = (len(t["start"]) - 1).bit_length() - 1
     bucket = key >> np.uint64(64 - bits)
     lo, end = t["start"][bucket].astype(np.int64), t["start"][bucket + np.uint64(1)].astype(np.int64)
-    hi, want = end.copy(), (key >> np.uint64(32 - bits)).astype("<u4")
-    while len(open_ := np.flatnonzero(lo < hi)):
-        mid = (lo[open_] + hi[open_]) // 2
-        below = t["key"][mid] < want[open_]
-        lo[open_[below]] = mid[below] + 1
-        hi[open_[~below]] = mid[~below]
+    want, keys = (key >> np.uint64(32 - bits)).astype("<u4"), t["key"]
+    size = end - lo
+    # Halve all buckets alike, as far as the largest asks for; an empty half stays where it is.
+    for _ in range(int(size.max()).bit_length()):
+        half = (size + 1) >> 1
+        below = (size > 0) & (keys[np.minimum(lo + half - 1, len(keys) - 1)] < want)
+        lo = np.where(below, lo + half, lo)
+        size = np.where(below, size - half, half - 1)
     hit = np.flatnonzero(lo < end)
-    hit = hit[t["key"][lo[hit]] == want[hit]]
+    hit = hit[keys[lo[hit]] == want[hit]]
     out = np.zeros((len(key), width), np.int64)
     out[hit] = _decoded(t, lo[hit])
     return out
@@ -273,11 +296,17 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, count
 
 
-def _windows(number: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
+def _windows(number: np.ndarray, count: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
     """Columns of the n-grams that end at each token, begin tokens before a text."""
     ends = np.cumsum(count)
     since = np.arange(len(number)) - np.repeat(ends - count, count)
-    return [number if k == 0 else np.where(since >= k, np.concatenate([np.full(min(k, len(number)), _BEGIN, np.uint64), number[:-k]]), _BEGIN) for k in range(order - 1, -1, -1)]
+    out = []
+    for k in range(order - 1, -1, -1):
+        column = np.full(len(number), begin, number.dtype)
+        column[k:] = number[: len(number) - k]
+        column[since < k] = begin
+        out.append(column)
+    return out
 
 
 @dataclass
@@ -320,8 +349,7 @@ class Model:
     def look_up(self, kind: str, part: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
         """Rows of counts of keys, each in the table of its partition."""
         out = np.zeros((len(key), width), np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        order, bounds = _grouped(part)
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             own = order[lo:hi]
             out[own] = _find(f"{self.path}/{kind}/{part[own[0]]}", key[own], width)
@@ -353,7 +381,7 @@ class Model:
             p = np.full(len(words), 1 / (self.types + 1))
         for level in range(2, self.order + 1):
             # The n-gram that ends at a place: the shorter one that ends before it, and its word. Across texts they mean nothing.
-            grams, example, after = np.unique(index[:-1] * len(words) + sequence[1:], return_index=True, return_inverse=True)
+            grams, example, after = _distinct(index[:-1] * len(words) + sequence[1:])
             context, shorter = grams // len(words), index[1:][example]
             total, n1, n2, n3 = self._contexts(columns, seen > 0)[:, context]
             columns = [*[c[context] for c in columns], words[grams % len(words)]]
@@ -394,9 +422,8 @@ _SHAPE = "kind string, part int, blob binary"
 
 def _rows(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """A blob for each partition, in which the sorted rows of ``columns`` stay in order."""
-    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    order, bounds = _grouped(part)
     part, columns = part[order], [c[order] for c in columns]
-    bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
     blobs = [_squeeze([c[a:b] for c in columns]) for a, b in zip(bounds, bounds[1:], strict=False)]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.string()), pa.array(part[bounds[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
 
@@ -410,29 +437,56 @@ def _heard(rows: DataFrame) -> list[dict]:
     return [{"part": r[0], **json.loads(bytes(r[1]))} for r in rows.where("kind = 'stats'").select("part", "blob").collect()]
 
 
-def _counting(number_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], place: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
-    """Map side of a count: rows of columns from token hashes, summed before they leave."""
+def _counting(of: Callable[[np.ndarray, np.ndarray], tuple], counted: Callable[[list[tuple]], tuple[list[np.ndarray], np.ndarray]], place: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
+    """Map side of a count: ``of`` makes something of each piece of text, ``counted`` distinct rows and their counts of many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            columns, n = counted(held)
             held.clear()
-            columns, n = _counted(columns)
             return _rows("gram", place(columns), [*columns, n])
 
+        size = 0
         for b in batches:
             for _, _, raw, offsets in tokens.chunks(b.column(0)):
-                held.append(number_of(*_words(raw, offsets)))
-                if sum(len(h[0]) for h in held) >= _FLUSH:
+                h, n = _words(raw, offsets)
+                held.append(of(h, n))
+                size += len(h)
+                if size >= _FLUSH:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
 
     return count
 
 
+def _word_counts(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+    key, n = np.unique(np.concatenate([h for h, _ in held]), return_counts=True)
+    return [key], n
+
+
+def _gram_counts(order: int) -> Callable[[list[tuple]], tuple[list[np.ndarray], np.ndarray]]:
+    """N-grams of pieces given by the numbers of their different words, which of them each token is, and the texts' token counts."""
+
+    def counted(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+        words = np.unique(np.concatenate([*[w for w, _, _ in held], np.array([_BEGIN])]))
+        begin, n = int(np.searchsorted(words, _BEGIN)), len(words)
+        pieces = [_windows(np.searchsorted(words, w)[which], count, order, begin) for w, which, count in held]
+        if n**order >= 1 << 63:
+            return _counted([words[np.concatenate(c)] for c in zip(*pieces, strict=True)])
+        keys = []
+        for columns in pieces:
+            keys.append(columns[0])
+            for c in columns[1:]:
+                keys[-1] = keys[-1] * n + c
+        return _unpacked(np.concatenate(keys), words, order)
+
+    return counted
+
+
 def _merge_words(path: str, ranges: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -506,7 +560,7 @@ def train(texts: DataFrame, order: int = 3, text: str = "text", parts: int | Non
     path = mounted(shared_path(spark, "lm"))
     model = Model(path, order, ranges, discounts=[[0.5, 1.0, 1.5]] * order)
     given = texts.select(F.col(text).alias("text"))
-    words = given.mapInArrow(_counting(lambda h, n: [h], lambda c: _range(c[0], ranges)), _SHAPE).groupBy("part").applyInArrow(_merge_words(path, ranges), _SHAPE)
+    words = given.mapInArrow(_counting(lambda h, n: (h, n), _word_counts, lambda c: _range(c[0], ranges)), _SHAPE).groupBy("part").applyInArrow(_merge_words(path, ranges), _SHAPE)
     stats = sorted(_heard(words), key=lambda s: s["part"])
     model.tokens, model.types = sum(s["tokens"] for s in stats), sum(s["types"] for s in stats)
     types = {s["part"]: s["types"] for s in stats}
@@ -518,11 +572,11 @@ def train(texts: DataFrame, order: int = 3, text: str = "text", parts: int | Non
     del words
     release(spark)
 
-    def windows(h: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-        distinct, which = np.unique(h, return_inverse=True)
-        return _windows(model.words(distinct)[0][which], count, order)
+    def pieces(h: np.ndarray, count: np.ndarray) -> tuple:
+        distinct, _, which = _distinct(h)
+        return model.words(distinct)[0], which, count
 
-    rows: DataFrame = given.mapInArrow(_counting(windows, lambda c: _places(c, model.parts)[0]), _SHAPE)
+    rows: DataFrame = given.mapInArrow(_counting(pieces, _gram_counts(order), lambda c: _places(c, model.parts)[0]), _SHAPE)
     before = None
     for level in range(order, 0, -1):
         after = written(rows.where("kind = 'gram'").groupBy("part").applyInArrow(_merge_grams(path, level, model.parts), _SHAPE), f"lm-{level}")
@@ -557,7 +611,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             n_known, base, full = n_tokens.copy(), np.zeros(b.num_rows), np.zeros(b.num_rows)
             for lo, hi, raw, offsets in tokens.chunks(b.column(1)):
                 h, count = _words(raw, offsets)
-                distinct, which = np.unique(h, return_inverse=True)
+                distinct, _, which = _distinct(h)
                 words, known = model.words(distinct)
                 p, seen = model.probabilities(words, which, count), known[which]
                 first = np.cumsum(count) - count
