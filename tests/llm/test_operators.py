@@ -83,7 +83,7 @@ def test_random_tokens_are_found_and_words_are_not(spark):
 # 2 Language model
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_kneser_ney_against_brute_force(spark, corpus, order):
     df = spark.createDataFrame(corpus, DOCS)
     trained = [t for i, t, _ in corpus if i is not None and i % 3]
