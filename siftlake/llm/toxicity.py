@@ -176,6 +176,28 @@ class Landmarks:
         return k * k * k
 
 
+class Known:
+    """Values of units that a task has worked out, by hash; when more than ``most`` are held it starts anew."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.keys, self.values = most, np.zeros(0, np.uint64), np.zeros(0)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of sorted keys, and which are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self.keys, self.values = keys, values
+            return
+        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+
 @dataclass
 class Machine:
     """Landmarks, one weight for each, and the bias."""
@@ -184,13 +206,16 @@ class Machine:
     beta: np.ndarray
     bias: float
 
-    def values(self, u: Units, step: int = 4000) -> np.ndarray:
-        """The machine's value of every unit; each different unit is worked out once."""
-        different, kind, _ = distinct(u)
-        out = np.zeros(len(different.first))
-        for at in range(0, len(out), step):
-            which = np.arange(at, min(at + step, len(out)))
+    def values(self, u: Units, known: Known | None = None, step: int = 4000) -> np.ndarray:
+        """The machine's value of every unit; each different unit is worked out once, and not if it is ``known``."""
+        different, kind, keys = distinct(u)
+        out, have = (known or Known()).find(keys)
+        new = np.flatnonzero(~have)
+        for at in range(0, len(new), step):
+            which = new[at : at + step]
             out[which] = self.landmarks.kernel(different, which) @ self.beta + self.bias
+        if known is not None and len(new):
+            known.add(keys[new], out[new])
         return out[kind]
 
 
@@ -209,17 +234,17 @@ class Model:
     machine: Machine | None
     calibration: np.ndarray
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        x = _pooled_texts(self.machine, texts)
+    def scores(self, texts: pa.Array, known: Known | None = None) -> np.ndarray:
+        x = _pooled_texts(self.machine, texts, known)
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
-def _pooled_texts(machine: Machine | None, texts: pa.Array) -> np.ndarray:
+def _pooled_texts(machine: Machine | None, texts: pa.Array, known: Known | None = None) -> np.ndarray:
     out = np.zeros((len(texts), 2))
     for lo, hi, raw, offsets in tokens.chunks(texts, 1 << 20):
         u = units(raw, offsets)
         if machine and len(u.first):
-            out[lo:hi] = pooled(u, machine.values(u))
+            out[lo:hi] = pooled(u, machine.values(u, known))
     return out
 
 
@@ -420,8 +445,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some MB: the landmarks' features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1), known))], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
@@ -432,8 +458,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float, text: str = "text"
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for b in batches:
-            yield b.filter(pa.array(sent.value.scores(b.column(at)) < threshold))
+            yield b.filter(pa.array(sent.value.scores(b.column(at), known) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
