@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from siftlake.plans.cache import file_stamp
 from siftlake.sources import inspect as inspection
 from siftlake.sources import scan
 from siftlake.sources.pool import ReaderPool
+from siftlake.sources.write import BitmapIndex, Bloom, SortKey, TermIndex, column, write, write_options
+from siftlake.streaming.follow import follow
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 _KEYS = ["l_orderkey", "l_linenumber"]
@@ -385,6 +389,70 @@ _register(
     lambda s, d: s.createDataFrame([(i.kind, i.column, i.detail) for i in inspection.index_listing(_clustered(s, d))], "kind string, column string, detail string"),
     None,
 )
+_register("schema_columns", lambda s, d: inspection.schema_listing(s, f"{d}/lineitem.parquet").select("path"), "SELECT column_name AS path FROM (DESCRIBE SELECT * FROM lineitem)")
+_register(
+    "footer_bounds",
+    lambda s, d: inspection.metadata(s, f"{d}/orders.parquet").where("path = 'o_orderkey'").agg(
+        F.min(F.col("minimum").cast("long")).alias("low"), F.max(F.col("maximum").cast("long")).alias("high"), F.sum("rows").alias("n"), F.sum("nulls").alias("nulls")
+    ),
+    "SELECT min(o_orderkey)::BIGINT AS low, max(o_orderkey)::BIGINT AS high, count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders",
+)
+_register(
+    "plan_rows",
+    lambda s, d: _one(s, n=F.lit(sum(g.rows for f in Query.from_directory(s, _clustered(s, d)).where(col("p_brand") == "Brand#22").plan().files for g in f.groups)).cast("long")),
+    "SELECT count(*) AS n FROM part",
+)
+_register(
+    "plan_without_match",
+    lambda s, d: _one(s, groups=F.lit(Query.from_directory(s, _clustered(s, d)).with_indexes().pushdown(col("p_brand") == "Brand#2-").plan().selected_groups).cast("long")),
+    "SELECT count(*) AS groups FROM part WHERE p_brand = 'Brand#2-'",
+)
+
+
+@write_options(compression="zstd", row_group_rows=200)
+@dataclass
+class _Supplier:
+    """A row class with every kind of mark."""
+
+    s_suppkey: int = column(SortKey(2))
+    s_name: str = column(Bloom(), TermIndex())
+    s_nationkey: int = column(BitmapIndex(), SortKey(1, descending=True), name="nation")
+    s_acctbal: float = column(required=True)
+    note: str = column(ignore=True, default="")
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> str:
+    """Suppliers written by a plan, sorted within files, with their indexes."""
+    path = _place(spark, sf_dir, "suppliers", "supplier")
+    if not scan.exists(f"{path}/_index/terms/s_name/_SUCCESS"):
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"), "s_acctbal")
+        write(spark, rows, path, _Supplier, (indexes.BitmapStrategy(), indexes.TermStrategy(), indexes.SortOrderStrategy()), sort=True, files=2, mode="overwrite")
+    return path
+
+
+_register("written_by_plan", lambda s, d: Query.from_directory(s, _annotated(s, d)).dataframe(), "SELECT s_suppkey, s_name, s_nationkey AS nation, s_acctbal FROM supplier")
+_register(
+    "written_index_lookup",
+    lambda s, d: Query.from_directory(s, _annotated(s, d)).with_indexes().pushdown(col("nation") == 7).select("s_suppkey").dataframe(),
+    "SELECT s_suppkey FROM supplier WHERE s_nationkey = 7",
+)
+_register(
+    "written_sort_order",
+    lambda s, d: s.createDataFrame([(k["path"], k["order"], k["direction"]) for k in indexes.sort_order(_annotated(s, d))], "path string, priority int, direction string"),
+    "SELECT * FROM (VALUES ('nation', 1, 'desc'), ('s_suppkey', 2, 'asc')) t(path, priority, direction)",
+)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's filters and projection over a directory as a stream, run until it has all there is."""
+    path = _clustered(spark, sf_dir)
+    out = f"{path}-followed-{uuid.uuid4().hex[:8]}"
+    stream = follow(Query.from_directory(spark, path).where(col("p_size") > 40).select("p_partkey", "p_size"), path)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start(f"{out}/data").awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+_register("followed_directory", _followed, "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
 _register(
     "browse_rows",
     lambda s, d: s.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in inspection.browse(s, f"{d}/nation.parquet", 5, 10)], "n_nationkey int, n_name string"),
