@@ -359,12 +359,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     """
     spark = docs.sparkSession
     row = F.struct("doc_id", "text_hash")
-    rows = written(prefixes(docs, doc_id, text, words, similarity), "prefixes")
-    have = rows.where("sig IS NOT NULL")
-    nodes = written(
-        have.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(row).alias("low")), "nodes"
+    # Prefixes are the bulk of what is kept, so each table that has them goes as soon as the next is there.
+    full = written(prefixes(docs, doc_id, text, words, similarity), "prefixes")
+    have = written(full.where("sig IS NOT NULL").select("doc_id", "text_hash", "sig"), "rows")
+    whole = written(
+        full.where("sig IS NOT NULL").groupBy("sig").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(row).alias("low")), "nodes"
     )
-    shared = written(shared_prefixes(nodes), "shared")
+    forget(full)
+    release(spark)
+    shared = written(shared_prefixes(whole), "shared")
+    nodes = written(whole.drop("prefix"), "nodes")
+    forget(whole)
     release(spark)
     # One key that is never null, so that rows of a document meet in one partition and need no second shuffle to be told apart.
     given = docs.select(F.col(doc_id).alias("__own"), F.col(text).alias("text"), F.xxhash64(text).alias("__text"))
@@ -378,6 +383,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
         texts = given.join(wanted, "__key").where(same).dropDuplicates(["__key", "sig"]).select("sig", "text")
         sets = written(shingle_sets(texts, words), "sets")
+        release(spark)
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         counted = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n"))
@@ -389,8 +395,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     beside = shared.where(F.col("low_size") >= F.lit(similarity) * F.col("size") - 1e-6).select(F.least("low", "sig").alias("a"), F.greatest("low", "sig").alias("b"))
     near = similar(beside.unionByName(hashed_pairs(nodes.select("sig", "fp"))), "near")
     linked = near.unionByName(similar(open_pairs(shared, components(near), similarity), "far"))
-    roots = components(linked)
     forget(shared)
+    roots = components(linked)
+    release(spark)
     named = nodes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("keep"))
     kept = named.join(lowest, "root").select("sig", "keep")
