@@ -433,7 +433,7 @@ def _said(part: int, **what: object) -> pa.RecordBatch:
 
 
 def _heard(rows: DataFrame) -> list[dict]:
-    """What the groups said: some numbers from each partition."""
+    """What the groups of words said: some numbers from each range."""
     return [{"part": r[0], **json.loads(bytes(r[1]))} for r in rows.where("kind = 'stats'").select("part", "blob").collect()]
 
 
@@ -583,13 +583,15 @@ def train(texts: DataFrame, order: int = 3, text: str = "text", parts: int | Non
         del rows
         forget(before)
         release(spark)
-        stats = _heard(after)
-        n = np.sum([s["n"] for s in stats], axis=0) if stats else np.zeros(4)
+        # Summed by Spark: there is a row for every partition, and partitions grow with the input.
+        said = F.from_json(F.col("blob").cast("string"), "n array<long>, n3 long, total long")
+        of = after.where("kind = 'stats'").select(said.alias("s"))
+        *n, n3, total = [x or 0 for x in of.agg(*[F.sum(F.get("s.n", i)) for i in range(4)], F.sum("s.n3"), F.sum("s.total")).first()]
         model.discounts[level - 1] = _discounts(np.asarray(n))
         if level > 1:
             after.where("kind = 'context'").groupBy("part").applyInArrow(_merge_contexts(path, level), "part int").count()
-        elif stats:
-            model.unigrams = [sum(s["total"] for s in stats), int(n[0]), int(n[1]), sum(s["n3"] for s in stats)]
+        elif total:
+            model.unigrams = [total, n[0], n[1], n3]
         rows = before = after
     forget(before)
     return model
