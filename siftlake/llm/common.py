@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -66,9 +67,17 @@ def forget(*tables: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps, which otherwise stay until the driver's garbage is collected."""
+    """Let Spark's cleaner delete the shuffle files of finished steps, which otherwise stay until the driver's garbage is collected.
+
+    The last query is held until another one has run. The JVM drops what
+    Python no longer refers to a moment after Python does, and the cleaner
+    works beside, so each gets that moment.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
+    time.sleep(0.5)
     spark._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def ascii_lower(text: Column) -> Column:
