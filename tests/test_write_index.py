@@ -10,7 +10,10 @@ import threading
 import warnings
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake.operators.predicates import col
 from siftlake.operators.query import Query
@@ -256,3 +259,34 @@ def test_entries_without_limit_give_all_keys(spark, tmp_path):
     spark.range(1200).selectExpr("cast(id AS string) AS value", "'f' AS file", "0 AS row_group").write.parquet(path)
     assert indexes.entries(spark, at, indexes.BITMAP, "name", limit=None).count() == 1200
     assert indexes.entries(spark, at, indexes.BITMAP, "name").count() == 100
+
+
+def uneven(directory, sizes):
+    """One file with row groups of the given sizes."""
+    schema = pa.schema([("k", pa.string()), ("t", pa.string())])
+    directory.mkdir()
+    at, keys = 0, []
+    with pq.ParquetWriter(str(directory / "a b+c.parquet"), schema) as w:
+        for n in sizes:
+            keys.append({f"v{i % 7}" for i in range(at, at + n)})
+            w.write_table(pa.table({"k": [f"v{i % 7}" for i in range(at, at + n)], "t": [f"T{i % 5} x" for i in range(at, at + n)]}, schema), row_group_size=max(1, n))
+            at += n
+    return str(directory), keys
+
+
+def test_rows_meet_few_row_groups(spark, tmp_path):
+    """Comparisons of rows with row groups grow with the rows, not with rows times groups."""
+    sizes = [900, *[1] * 300, 0, 3, 700, *[2] * 150, 40]
+    at, keys = uneven(tmp_path / "data", sizes)
+    indexes.build_bitmap(spark, at, "k")
+    got = {}
+    for r in spark.read.parquet(indexes.directory(at, indexes.BITMAP, "k")).collect():
+        got.setdefault(r["row_group"], set()).update({r["value"]} - {None})
+    assert [got.get(g, set()) for g in range(len(keys))] == keys
+    # Rows of a file and the groups that they are compared with meet by the join's equal keys.
+    placed = indexes._placed(spark, at, "k", lambda s: F.col("k"))._jdf.queryExecution().optimizedPlan()
+    joins = [x for x in placed.toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and "bin#" in joins[0]
+    groups, width = indexes._groups(spark, [f"{at}/a b+c.parquet"])
+    pairs = indexes._binned(groups, width).count() * width
+    assert pairs <= 2 * (sum(sizes) + len(sizes)) < sum(sizes) * len(sizes) / 50
