@@ -290,3 +290,16 @@ def test_rows_meet_few_row_groups(spark, tmp_path):
     groups, width = indexes._groups(spark, [f"{at}/a b+c.parquet"])
     pairs = indexes._binned(groups, width).count() * width
     assert pairs <= 2 * (sum(sizes) + len(sizes)) < sum(sizes) * len(sizes) / 50
+
+
+def test_index_builds_leave_page_indexes_alone(spark, tmp_path):
+    """What a build reads doesn't follow the number of row groups."""
+    at = str(tmp_path / "data")
+    rows = spark.range(30_000).selectExpr("concat('v', id % 7) AS k", "id", "concat('T', id % 5) AS t")
+    rows.coalesce(1).write.options(**{"parquet.block.row.count.limit": "10", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}).parquet(at)
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    indexes.build_bitmap(spark, at, "k")
+    size = sum(os.path.getsize(f"{at}/{x}") for x in os.listdir(at) if x.endswith(".parquet"))
+    assert read() - before < 10 * size
+    assert indexes.entries(spark, at, indexes.BITMAP, "k").count() == 7
