@@ -303,3 +303,18 @@ def test_index_builds_leave_page_indexes_alone(spark, tmp_path):
     size = sum(os.path.getsize(f"{at}/{x}") for x in os.listdir(at) if x.endswith(".parquet"))
     assert read() - before < 10 * size
     assert indexes.entries(spark, at, indexes.BITMAP, "k").count() == 7
+
+
+def test_files_of_parts_follow_the_rows(spark, tmp_path, monkeypatch):
+    """No file, so no task, holds more for a larger table, even if all rows are of one brand."""
+    from siftlake import queries
+
+    monkeypatch.setattr(queries, "_FILE_ROWS", 500, raising=False)
+    parts = spark.range(4000).selectExpr("id AS p_partkey", "concat('hot bolt ', id % 5) AS p_name", "'Brand#22' AS p_brand", "'SMALL' AS p_type", "cast(id % 50 AS int) AS p_size", "900.0D AS p_retailprice")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    at = queries._clustered(spark, str(tmp_path))
+    rows = [r["count"] for r in spark.read.parquet(at).groupBy("_metadata.file_path").count().collect()]
+    assert len(rows) == 8 and sum(rows) == 4000 and max(rows) <= 1000
+    run = lambda name: [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    assert run("plan_rows") == [(4000,)] and run("plan_without_match") == [(0,)] and run("bitmap_index_entries") == [("Brand#22",)]
+    assert len(run("indexed_bitmap_lookup")) == 4000 and len(run("term_index_entries")) == 7
